@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import bpe, langid, media, packing, quality, simhash, urlfilter
+from trawlnet.llm import bpe, langid, media, packing, quality, rules, simhash, urlfilter
 from trawlnet.plans.tables import table
 
 
@@ -38,5 +38,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_simhash_dedup, op5_media_columns, op6_language_id, op8_url_filter, op9_best_fit_packing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_simhash_dedup, op5_media_columns, op6_language_id, op8_url_filter, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
