@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlnet.llm import bpe, langid, media, packing, quality, rules, simhash, urlfilter
+from trawlnet.llm import bpe, langid, licenses, media, packing, quality, rules, simhash, urlfilter
 from trawlnet.plans.tables import table
 
 
@@ -29,6 +29,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urlfilter.train(urlfilter.labelled_urls())
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES, model)
@@ -42,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_simhash_dedup, op5_media_columns, op6_language_id, op8_url_filter, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_simhash_dedup, op5_media_columns, op6_language_id, op7_license_scan, op8_url_filter, op9_best_fit_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
