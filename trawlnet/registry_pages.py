@@ -1 +1,87 @@
 """Queries over HTML, URLs and bytes: those whose functions run as Arrow UDFs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trawlnet.functions import html as H
+from trawlnet.functions import raw as R
+from trawlnet.functions import urls as U
+from trawlnet.functions.text import ACCENTED, PLAIN
+from trawlnet.operators import index as ix
+from trawlnet.plans.tables import table
+from trawlnet.registry import query
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+
+
+_PLAIN_TEXT = (
+    "replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|textarea)[^>]*>.*?</(script|style|textarea)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),"
+    " '&copy;', ' '), '&middot;', ' '), '&quot;', ' '), '&amp;', ' ')"
+)
+
+
+@query(
+    f"WITH w AS (SELECT page_id, unnest(regexp_extract_all({_PLAIN_TEXT}, '[\\p{{L}}\\p{{Nd}}]+')) AS t FROM pages) "
+    f"SELECT page_id AS doc_id, translate(lower(t), '{ACCENTED}', '{PLAIN}') AS term, count(*) AS freq FROM w GROUP BY 1, 2"
+)
+def page_text_tokens(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.array_join(H.text_nodes_of(F.col("html")), " ").alias("text"))
+    return ix.term_frequencies(pages, "page_id")
+
+
+_HREFS = "SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages"
+
+
+@query(f"SELECT page_id, link FROM ({_HREFS})")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
+
+
+@query(
+    f"SELECT page_id, link, regexp_extract(url, '^http://[^/?#]*', 0) || link AS target FROM ({_HREFS}) WHERE starts_with(url, 'http://') AND regexp_full_match(link, '/[A-Za-z0-9.,_~-]*')"
+)
+def resolved_links(spark, d):
+    rows = table(spark, d, "pages").select("page_id", "url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
+    rows = rows.where(F.col("url").startswith("http://") & F.col("link").rlike("^/[A-Za-z0-9.,_~-]*$"))
+    return rows.select("page_id", "link", U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("target"))
+
+
+@query("SELECT page_id, regexp_replace(url, '#.*$', '') AS normal FROM pages WHERE starts_with(url, 'http://')")
+def normalize_url(spark, d):
+    http = table(spark, d, "pages").where(F.col("url").startswith("http://"))
+    return http.select("page_id", U.normalize_url(F.regexp_replace("url", "#.*$", "")).alias("normal"))
+
+
+@query()
+def fnv_fingerprints(spark, d):
+    return table(spark, d, "pages").select("page_id", U.fingerprint(F.col("url")).alias("fp"))
+
+
+@query()
+def link_graph(spark, d):
+    """GR1: source and target fingerprints of stripped links, distinct."""
+    rows = table(spark, d, "pages").select("url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
+    edges = rows.select(U.normalize_url(F.col("url")).alias("src"), U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    return edges.select(U.fingerprint(F.col("src")).alias("src"), U.fingerprint(F.col("dst")).alias("dst")).distinct()
+
+
+@query("SELECT doc_id, text, 'utf-8' AS encoding FROM documents")
+def to_utf8(spark, d):
+    return table(spark, d, "documents").select("doc_id", R.utf8_of(F.col("text").cast("binary")).alias("u")).select("doc_id", "u.text", "u.encoding")
+
+
+@query("SELECT doc_id, n_chars + 1 AS n, CASE WHEN n_chars < 128 THEN 1 WHEN n_chars < 16512 THEN 2 ELSE 3 END AS bytes FROM documents")
+def vbyte_roundtrip(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", R.vbyte_encoded(F.array(F.col("n_chars") + 1)).alias("raw"))
+    return rows.select("doc_id", R.vbyte_decoded(F.col("raw"))[0].alias("n"), F.octet_length("raw").alias("bytes"))
+
+
+@query("SELECT * FROM (VALUES ('/test1', true), ('/test2', false)) t(prefix, allow)")
+def robots_parse(spark, d):
+    text = "User-agent: *\nAllow: /test1 # one\nDisallow: /test2\n\nUser-agent: other\nDisallow: /\n"
+    rules = spark.createDataFrame([(text,)], "t string").select(F.explode(R.robots_of(F.col("t"))).alias("r"))
+    return rules.select("r.prefix", "r.allow")
