@@ -14,9 +14,16 @@ from trawlnet.functions.text import normalize_term, tokens, vbyte_size
 from trawlnet.plans.shared import materialise
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files make fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """AG1: doc_id, term, freq."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("t"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    words = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("t"))
     return words.select("doc_id", normalize_term(F.col("t")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
 
 
