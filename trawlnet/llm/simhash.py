@@ -199,7 +199,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     chosen = _blocks_chosen(n)
     choices = block_choices(chosen)
-    width = sum(w for _, w in choices[0][:chosen])  # blocks differ by a bit; the shortest head is common to a trie
+    # blocks differ in width by a bit; all values of a trie share the shortest head
     width = min(sum(w for _, w in c[:chosen]) for c in choices)
     rows = nodes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), _permuted(F.col("fp"), c).alias("v")) for i, c in enumerate(choices)])).alias("x")).select("x.c", "x.v")
     rows = rows.withColumn("head", F.shiftrightunsigned("v", BITS - width))
