@@ -67,8 +67,13 @@ def test_pagerank_matches_brute_force(spark):
         if off <= 1e-3:
             break
     n = spark.createDataFrame([(x,) for x in nodes], "id long")
-    got = {r.id: r.rank for r in gr.pagerank(n, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    links = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.id: r.rank for r in gr.pagerank(n, links).collect()}
     assert all(math.isclose(got[v], rank[v], abs_tol=1e-9) for v in nodes)
+    out = spark.createDataFrame([(1, 99), (1, 98), (2, 3), (2, 99), (3, 2)], "src long, dst long")
+    some = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    pruned = {r.id: round(r.rank, 2) for r in gr.pagerank(some, out, prune_dangling=True).collect()}
+    assert pruned == {1: 0.15, 2: 1.0, 3: 1.0, 4: 0.15}
 
 
 def test_frontier(spark):

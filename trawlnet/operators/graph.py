@@ -1,8 +1,9 @@
 """Link graph and PageRank over edge tables.
 
-Edges and out-degrees are written once, partitioned by source, and each iteration is one join on the source, one
-grouped sum with map-side combine, and one join onto all nodes. Each iteration's ranks are written to the shared
-folder, which cuts lineage and survives lost executors.
+Edges with their source's out-degree are the large table. They are shuffled once, into a table bucketed by source; each
+iteration joins it to the ranks, which alone are shuffled, sums votes with map-side combine, and joins the sums onto
+all nodes. Each iteration's ranks are written to the shared folder with their change, which cuts lineage, survives lost
+executors and makes the residual a sum over that table.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.plans.shared import materialise
+from trawlnet.plans.shared import materialise, materialise_bucketed
+
+#: Edges of a bucket, on average.
+BUCKET_ROWS = 20_000_000
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -22,11 +26,13 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("n"))
 
 
-def pagerank_step(nodes: DataFrame, shares: DataFrame, ranks: DataFrame, damping: float = 0.85) -> DataFrame:
-    """GR3: id, rank after one iteration; ``shares`` are edges with their source's out-degree."""
-    votes = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("_v"))
-    joined = nodes.join(votes.withColumnRenamed("dst", "id"), "id", "left")
-    return joined.select("id", (F.lit(1 - damping) + damping * F.coalesce("_v", F.lit(0.0))).alias("rank"))
+def pagerank_step(shares: DataFrame, ranks: DataFrame, damping: float = 0.85) -> DataFrame:
+    """GR3: id, rank, off (the absolute change) after one iteration; ``shares`` are edges with their source's
+    out-degree, ``ranks`` hold every node."""
+    votes = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("_v"))
+    new = F.lit(1 - damping) + damping * F.coalesce("_v", F.lit(0.0))
+    joined = ranks.select("id", F.col("rank").alias("_old")).join(votes.withColumnRenamed("dst", "id"), "id", "left")
+    return joined.select("id", new.alias("rank"), F.abs(new - F.col("_old")).alias("off"))
 
 
 def residual(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -35,19 +41,32 @@ def residual(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.abs(F.col("_old") - F.coalesce("_new", F.lit(0.0)))).alias("l1"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-3, max_iter: int = 100) -> DataFrame:
-    """GR3, GR4: id, rank; at least one iteration, until the residual is ``tol`` or less."""
+def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GR5: ids of nodes that have links, none of them into the collection."""
+    linking = edges.select(F.col("src").alias("id")).distinct().join(nodes.select("id"), "id", "left_semi")
+    return linking.join(valid_edges(edges, nodes).select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-3, max_iter: int = 100, prune_dangling: bool = False) -> DataFrame:
+    """GR3, GR4: id, rank; at least one iteration, until the residual is ``tol`` or less. With ``prune_dangling``
+    (GR5), nodes all of whose links lead out of the collection take no part and get the least rank, 1 - ``damping``."""
+    spark = nodes.sparkSession
     nodes = materialise(nodes.select("id").distinct(), "nodes")
-    edges = valid_edges(edges, nodes)
-    shares = materialise(edges.join(out_degrees(edges), "src").repartition("src"), "shares")
+    lone = None
+    if prune_dangling:
+        lone = materialise(dangling(nodes, edges), "dangling")
+        nodes = materialise(nodes.join(lone, "id", "left_anti"), "nodes")
+    edges = materialise(valid_edges(edges, nodes), "edges")
+    shares = edges.join(out_degrees(edges), "src")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET_ROWS))
+    shares = materialise_bucketed(shares, "shares", "src", buckets)
     ranks = nodes.withColumn("rank", F.lit(1.0))
     for _ in range(max_iter):
-        new = materialise(pagerank_step(nodes, shares, ranks, damping), "ranks")
-        off = residual(ranks, new).first()["l1"] or 0.0
-        ranks = new
-        if off <= tol:
+        ranks = materialise(pagerank_step(shares, ranks, damping), "ranks")
+        if (ranks.agg(F.sum("off")).first()[0] or 0.0) <= tol:
             break
-    return ranks
+    out = ranks.select("id", "rank")
+    return out.union(lone.select("id", F.lit(1 - damping))) if lone is not None else out
 
 
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, k: int, damping: float = 0.85) -> list[DataFrame]:
@@ -55,7 +74,7 @@ def pagerank_steps(nodes: DataFrame, edges: DataFrame, k: int, damping: float =
     shares = edges.join(out_degrees(edges), "src")
     out = [nodes.withColumn("rank", F.lit(1.0))]
     for _ in range(k):
-        out.append(pagerank_step(nodes, shares, out[-1], damping))
+        out.append(pagerank_step(shares, out[-1], damping).select("id", "rank"))
     return out
 
 

@@ -1,7 +1,8 @@
 """Tables in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it back, so a lost executor costs
-a re-read of a file and never a recomputation of the plan above it.
+a re-read of a file and never a recomputation of the plan above it. A bucketed table also keeps its partitioning, so
+joins on its key read it without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,11 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="trawlnet-"))
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the session ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it. The files go when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = _new_path(spark, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialise``, in ``buckets`` hash buckets of ``key``, one file each. The table's name is temporary."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
