@@ -83,3 +83,33 @@ def test_frontier(spark):
     q = fr.host_queues(fr.frontier_add(rows, known, ".br"))
     assert [(r.host, r.queue_len, r.next_path) for r in fr.frontier_pop(q).collect()] == [("a.br", 2, "/y"), ("b.br", 1, "/")]
     assert [r.host for r in fr.frontier_pop(q, F.lit(2), "bf").collect()] == ["a.br"]
+
+
+def test_blocks_change_nothing(spark):
+    rnd = random.Random(2)
+    rows = [(t, d, rnd.randint(1, 300)) for t, share in (("hot", 0.9), ("rare", 0.05)) for d in range(400) if rnd.random() < share]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, freq long")
+    last, want = {}, []
+    for t, d, n in rows:
+        want.append((t, d, n, d - last.get(t, 0)))
+        last[t] = d
+    got = ix.gaps(postings, 7)
+    assert sorted(map(tuple, got.select("term", "doc_id", "freq", "gap").collect())) == sorted(want)
+    place, placed = {}, []
+    for t, d, n, gap in want:
+        place[t] = place.get(t, 0) + 1
+        placed.append((t, place[t], n, gap))
+    back = ix.ungap(spark.createDataFrame(placed, "term string, pos long, freq long, gap long"), 7)
+    assert sorted(map(tuple, back.select("term", "doc_id", "freq").collect())) == sorted(rows)
+    assert sorted(map(tuple, ix.decoded_lists(ix.coded_lists(postings, 16), 16).select("term", "doc_id", "freq").collect())) == sorted(rows)
+    assert ix.gaps(postings.limit(0)).count() == 0 and ix.coded_lists(postings.limit(0)).count() == 0
+
+
+def test_stored_index(spark, index, tmp_path):
+    ix.write_index(index.postings, str(tmp_path / "i"), index.n_docs)
+    stored = ix.StoredIndex(spark, str(tmp_path / "i"))
+    rows = lambda i: sorted((r.doc_id, round(r.weight, 9)) for r in rt.vector_query(i, "hot cold").collect())
+    assert rows(stored) == rows(index) and ids(rt.boolean_query(stored, "hot OR porridge")) == [1, 2, 4]
+    assert sorted(r.term_id for r in stored.frequencies.collect()) == list(range(index.frequencies.count()))
+    urls = spark.createDataFrame([("b",), ("a",), ("c",)], "url string")
+    assert sorted(map(tuple, ix.assign_ids(urls, "url", start=10).collect())) == [("a", 10), ("b", 11), ("c", 12)]

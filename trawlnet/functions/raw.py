@@ -18,11 +18,15 @@ _MARKS = (
 _DECLARED = re.compile(r"<\?xml[^>]*?encoding\s*=\s*[\"']?([\w.:-]+)|<meta[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
-def to_utf8(raw: bytes, hint: str = "") -> tuple[str, str]:
-    """FN-CS2-5: text and encoding: the hint, marks, what the first 1024 bytes declare, UTF-8, Latin-1."""
-    declared = _DECLARED.search(raw[:1024].decode("latin-1"))
+_DECLARED_STRICT = re.compile(r"<\?xml[^>]*?encoding\s*=\s*[\"']?([\w.:-]+)|<meta(?=[^>]*http-equiv\s*=\s*[\"']?content-type)[^>]*?charset\s*=\s*([\w.:-]+)", re.I)
+
+
+def to_utf8(raw: bytes, hint: str = "", compat: bool = False) -> tuple[str, str]:
+    """FN-CS2-5: text and encoding: the hint, marks, what the first 1024 bytes declare, UTF-8, Latin-1. ``compat``
+    leaves out UTF-8 as a guess and knows a page's declaration in an http-equiv header only."""
+    declared = (_DECLARED_STRICT if compat else _DECLARED).search(raw[:1024].decode("latin-1"))
     marked = [enc for mark, enc in _MARKS if len(raw) > len(mark) and raw.startswith(mark)]
-    tried = [hint, *marked, (declared[1] or declared[2]) if declared else "", "utf-8"]
+    tried = [hint, *marked, (declared[1] or declared[2]) if declared else "", "" if compat else "utf-8"]
     for enc in dict.fromkeys(filter(None, tried)):
         try:
             return raw.decode(enc).removeprefix("﻿"), enc.lower()
@@ -111,12 +115,14 @@ def gunzip(content: Column) -> Column:
     return f(content)
 
 
-def utf8_of(content: Column) -> Column:
+def utf8_of(content: Column, hint: Column | None = None, compat: bool = False) -> Column:
+    """Text and encoding of bytes; ``hint`` is a charset to try first, as a header gives it."""
+
     @F.pandas_udf("text string, encoding string")
-    def f(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([to_utf8(x) if x is not None else (None, None) for x in s], columns=["text", "encoding"])
+    def f(s: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([to_utf8(x, y or "", compat) if x is not None else (None, None) for x, y in zip(s, h)], columns=["text", "encoding"])
 
-    return f(content)
+    return f(content, hint if hint is not None else F.lit("").cast("string"))
 
 
 def robots_of(text: Column) -> Column:
@@ -141,3 +147,21 @@ def vbyte_decoded(raw: Column) -> Column:
         return s.map(decode_all)
 
     return f(raw)
+
+
+def postings_coded(postings: Column) -> Column:
+    """FN-VB3: an array of (doc_id, freq), ids rising from 1, in the byte-wise code."""
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: compress_postings([(int(x["doc_id"]), int(x["freq"])) for x in xs]))
+
+    return f(postings)
+
+
+def postings_decoded(data: Column) -> Column:
+    @F.pandas_udf("array<struct<doc_id:bigint,freq:bigint>>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda raw: [{"doc_id": d, "freq": n} for d, n in decompress_postings(raw)])
+
+    return f(data)

@@ -2,17 +2,25 @@
 
 Postings stay exploded (term, doc_id, freq): one grouped count with map-side combine builds them, and every later
 table is one more aggregation. Dense ids and running offsets over a global order are made from range partitions: a
-local window in each, plus the totals of the partitions before it, so no single task sees all rows.
+local window in each, plus the totals of the partitions before it, so no single task sees all rows. Distances within a
+term's postings are taken in blocks of document ids, and each block's first from the end of the block before, so a
+term that is in most documents is many tasks' work; its coded list is a row for each block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trawlnet.functions.raw import postings_coded, postings_decoded
 from trawlnet.functions.text import normalize_term, tokens, vbyte_size
 from trawlnet.plans.shared import materialise
 
+#: Document ids, or places in a list, of one block.
+BLOCK = 1 << 20
+#: Postings of one coded list, at most.
+LIST_ROWS = 1 << 16
+
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if its files make fewer partitions than there are cores; large inputs stay as they are."""
@@ -62,16 +70,44 @@ def dump(postings: DataFrame) -> DataFrame:
     return posting_lists(postings).select("term", "df", text.alias("list"))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
+def gaps(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """WN1: postings with the distance from the document before, the first from 0."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return postings.withColumn("gap", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0)))
+    rows = materialise(postings.withColumn("_b", F.floor(F.col("doc_id") / block)), "postings")
+    ends = rows.groupBy("term", "_b").agg(F.max("doc_id").alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy("term").orderBy("_b"))  # a row for each block
+    own = rows.withColumn("_own", F.lag("doc_id").over(Window.partitionBy("term", "_b").orderBy("doc_id")))
+    joined = own.join(ends.select("term", "_b", before.alias("_before")), ["term", "_b"])
+    return joined.select(*postings.columns, (F.col("doc_id") - F.coalesce("_own", "_before", F.lit(0))).alias("gap"))
+
+
+def ungap(gapped: DataFrame, block: int = BLOCK) -> DataFrame:
+    """WN2: document ids from gaps, given each posting's place ``pos`` in its list."""
+    rows = materialise(gapped.withColumn("_b", F.floor(F.col("pos") / block)), "gaps")
+    sums = rows.groupBy("term", "_b").agg(F.sum("gap").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("term").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum("gap").over(Window.partitionBy("term", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("_own", own).join(sums.select("term", "_b", before.alias("_before")), ["term", "_b"])
+    return joined.select(*gapped.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("doc_id"))
+
+
+def coded_lists(postings: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """SNK6, FN-VB3: term, block, n, data: lists in the byte-wise code, one for each ``rows`` document ids. Ids are
+    coded by their distance within the block, from 1 up, as the code has no zero."""
+    cut = F.floor(F.col("doc_id") / rows).alias("block")
+    within = F.struct((F.col("doc_id") % rows + 1).alias("doc_id"), F.col("freq").cast("long").alias("freq"))
+    lists = postings.groupBy("term", cut).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(within)).alias("_list"))
+    return lists.select("term", "block", "n", postings_coded(F.col("_list")).alias("data"))
+
 
+def decoded_lists(coded: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """Postings (term, doc_id, freq) of ``coded_lists``."""
+    each = coded.select("term", "block", F.explode(postings_decoded(F.col("data"))).alias("p"))
+    return each.select("term", (F.col("block") * rows + F.col("p.doc_id") - 1).alias("doc_id"), F.col("p.freq").alias("freq"))
 
-def ungap(gapped: DataFrame) -> DataFrame:
-    """WN2: document ids from gaps, given each posting's place ``pos``."""
-    w = Window.partitionBy("term").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum("gap").over(w))
+
+def assign_ids(urls: DataFrame, order: str, name: str = "doc_id", start: int = 0) -> DataFrame:
+    """WN4: ``urls`` with dense ids from ``start`` in the order of the distinct column ``order``."""
+    return running(urls, order, F.lit(1), name).withColumn(name, F.col(name) + start)
 
 
 def compressed_sizes(postings: DataFrame) -> DataFrame:
@@ -103,3 +139,24 @@ class Index:
         self.postings = materialise(term_frequencies(docs, id_col, text_col), "postings")
         self.frequencies = materialise(document_frequencies(self.postings), "frequencies")
         self.norms = document_norms(self.postings, self.n_docs, self.frequencies)
+
+
+def write_index(postings: DataFrame, path: str, n_docs: int) -> None:
+    """SNK4-SNK6: vocabulary, coded lists and norms as tables under ``path``."""
+    postings = materialise(postings.select("term", "doc_id", "freq"), "postings")
+    frequencies = materialise(document_frequencies(postings), "frequencies")
+    vocabulary(frequencies).join(frequencies, "term").write.parquet(f"{path}/vocabulary")
+    coded_lists(postings).write.parquet(f"{path}/lists")
+    document_norms(postings, n_docs, frequencies).write.parquet(f"{path}/norms")
+    postings.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")).write.parquet(f"{path}/total")
+
+
+class StoredIndex:
+    """SRC9, SRC10: an index that ``write_index`` wrote; queries decode the lists of their terms only, as their filter
+    on terms reaches the scan of the lists."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.frequencies = spark.read.parquet(f"{path}/vocabulary")
+        self.postings = decoded_lists(spark.read.parquet(f"{path}/lists"))
+        self.norms = spark.read.parquet(f"{path}/norms")
+        self.n_docs = spark.read.parquet(f"{path}/total").first()["n_docs"]

@@ -15,7 +15,7 @@ def process_pages(raw: DataFrame) -> DataFrame:
     """url, text, encoding, title, follow, index and links of the rows (url, status, content_type, content) that were
     fetched well and hold HTML or XML. Links of pages that forbid following are empty (FLT7)."""
     good = raw.where((F.col("status") == 200) & accepts_content_type(F.col("content_type")))
-    text = good.select("url", charset_of(F.col("content_type")).alias("charset"), utf8_of(F.col("content")).alias("u"))
+    text = good.select("url", utf8_of(F.col("content"), F.coalesce(charset_of(F.col("content_type")), F.lit(""))).alias("u"))
     parsed = text.select("url", "u.text", "u.encoding", links_of(F.col("u.text")).alias("p"))
     links = F.when(F.col("p.follow"), F.col("p.links")).otherwise(F.array().cast("array<string>"))
     return parsed.select("url", "text", "encoding", page_title(F.col("text")).alias("title"), "p.base", "p.index", "p.follow", links.alias("links"))

@@ -79,6 +79,11 @@ def posting_gaps_roundtrip(spark, d):
     return ix.ungap(placed).select("term", "doc_id", "freq")
 
 
+@query(P + "SELECT term, doc_id, freq FROM postings")
+def coded_lists_roundtrip(spark, d):
+    return ix.decoded_lists(ix.coded_lists(_postings(spark, d)))
+
+
 _SIZE = "CASE WHEN {0} - 1 < 128 THEN 1 WHEN {0} - 1 < 16512 THEN 2 WHEN {0} - 1 < 2113664 THEN 3 WHEN {0} - 1 < 270549120 THEN 4 ELSE 5 END"
 _SIZES = (
     P
