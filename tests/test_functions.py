@@ -130,3 +130,23 @@ def test_columns(spark):
     assert (r.c, r.s, r.p, r.d, bytes(r.z), r.n) == ("iso-8859-1", "a b,c,d", [" \t a b", "c,d "], "st/00/00/01/02/data.gz", b"zz", None)
     n = spark.createDataFrame([("AçãO",), ("acao",)], "t string").select(T.normalize_term("t").alias("t")).distinct().collect()
     assert [x.t for x in n] == ["acao"]
+
+
+def test_more_functions(spark):
+    assert U.decode_query("q=a+b%20c%&q=%C3%A7&x&y=1=2&%ff=z") == {"q": "ç", "x": "", "y": "1=2", "\ufffd": "z"}
+    assert U.fnv1_32(b"") == 2166136261 and U.fnv1_32(b"a") == 0x050C5D7E
+    assert H.decode_entities("&lt;&aacute;&nope;", H.WORD_ENTITIES) == " á&nope;"
+    assert R.to_utf8("ç".encode(), compat=True)[1] == "latin-1" and R.to_utf8(b"<meta charset=utf-8>\xc3\xa7", compat=True)[1] == "latin-1"
+    assert R.to_utf8(b"<meta http-equiv='Content-Type' content='text/html; charset=utf-8'>\xc3\xa7", compat=True)[1] == "utf-8"
+    codes = [0, 1, 65, 127, 128, 0xE7, 0x7FF, 0x800, 0xD800, 0xFFFD, 0x10000, 0x10FFFF, 0x110000, -1, None]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c long").select("i", T.unichr(F.col("c")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in got] == ["" if c == 0 else None if c is None else chr(c) if 0 < c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd" for c in codes]
+    df = spark.createDataFrame([("a<b x=1>c", "/a/../b", "%41%zz", " 12 ", "k=v")], "h string, p string, q string, n string, g string")
+    r = df.select(H.events_of("h").alias("e"), U.without_dots("p").alias("p"), U.percent_fixed("q").alias("q"), T.to_number(F.col("n")).alias("n"), T.to_number(F.col("g")).alias("none"), U.query_pairs("g").alias("g")).first()
+    assert [(e.kind, e.name, e.attrs) for e in r.e] == [("text", "a", {}), ("tag", "b", {"x": "1"}), ("text", "c", {})]
+    assert (r.p, r.q, r.n, r.none, r.g) == ("/b", None, 12, None, {"k": "v"})
+
+
+def test_malformed_tags_take_linear_time():
+    events = list(H.events("<a b" * 20_000 + ">"))
+    assert events and "".join(e.name for e in events if e.kind == "text").startswith("<a b")

@@ -113,3 +113,23 @@ def test_stored_index(spark, index, tmp_path):
     assert sorted(r.term_id for r in stored.frequencies.collect()) == list(range(index.frequencies.count()))
     urls = spark.createDataFrame([("b",), ("a",), ("c",)], "url string")
     assert sorted(map(tuple, ix.assign_ids(urls, "url", start=10).collect())) == [("a", 10), ("b", 11), ("c", 12)]
+
+
+def test_tokenised_queries(index):
+    assert ids(rt.boolean_query(index, "hot,  OR pot!", strict=False)) == [1, 2, 4]
+    assert ids(rt.vector_query(index, "(Hot)  cold?", strict=False)) == [1, 4] and rt.vector_query(index, "...", strict=False).count() == 0
+    with pytest.raises(rt.UnknownTermError):
+        rt.boolean_query(index, "!", strict=False)
+
+
+def test_restart_and_counters(spark):
+    listed = spark.createDataFrame([(1, "http://a/x"), (2, "http://a/y"), (3, "http://b/")], "doc_id long, url string")
+    known, left = fr.pending(listed, spark.createDataFrame([(2,)], "doc_id long"))
+    assert sorted(map(tuple, known.collect())) == [("a", "/x"), ("a", "/y"), ("b", "/")]
+    assert sorted(map(tuple, left.collect())) == [("a", "/x", 1), ("b", "/", 3)]
+    log = fr.log_rows(spark.createDataFrame([(1, "u", True), (2, "v", False)], "doc_id long, url string, downloaded boolean"), F.lit(0).cast("timestamp"))
+    r = fr.crawl_counters(log, fr.host_queues(left), F.lit(1)).first()
+    assert (r.seen, r.crawled, r.downloaded, r.hosts, r.queued, r.active, r.idle) == (2, 2, 1, 2, 2, 1, 1)
+    empty = fr.crawl_counters(log.limit(0), fr.host_queues(left.limit(0))).first()
+    assert (empty.seen, empty.hosts, empty.queued, empty.idle) == (0, 0, 0, 0)
+    assert fr.error_rows(spark.createDataFrame([(1, "u", None)], "doc_id long, url string, msg string")).first().msg == ""

@@ -6,7 +6,7 @@ Functions of strings, and column functions over Arrow batches for what built-in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html.entities import name2codepoint
 from typing import Any, NamedTuple
 
@@ -76,7 +76,7 @@ def events(html: str, skip: tuple[str, ...] = SKIPPED) -> Iterator[Event]:
             at = m.end()
         else:
             following = _OPENS.search(html, at + 1)
-            if ">" not in html[at:] or not following:
+            if html.find(">", at) < 0 or not following:
                 yield Event("text", html[at:], {})
                 return
             start = following.start()
@@ -87,13 +87,17 @@ def events(html: str, skip: tuple[str, ...] = SKIPPED) -> Iterator[Event]:
 _ENTITY = re.compile(r"&(?:#(\d+)|#x([0-9A-Fa-f]+)|([A-Za-z][A-Za-z0-9]*));?")
 
 
-def decode_entities(text: str) -> str:
-    """ENT1: the named entities of HTML 4 and numeric ones; unknown names stay."""
+#: ENT1: the named entities of HTML 4. ENT2: those of letters and digits; all others are a space.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()}
+WORD_ENTITIES = {name: c if c.isalnum() else " " for name, c in ENTITIES.items()}
+
+
+def decode_entities(text: str, known: Mapping[str, str] = ENTITIES) -> str:
+    """ENT1: the entities of ``known`` and numeric ones; unknown names stay."""
 
     def one(m: re.Match) -> str:
         if m[3]:
-            code = name2codepoint.get(m[3])
-            return m[0] if code is None else chr(code)
+            return known.get(m[3], m[0])
         code = int(m[1] or m[2], 10 if m[1] else 16)
         return "" if code == 0 else chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
@@ -152,9 +156,19 @@ def links_of(html: Column) -> Column:
     return f(html)
 
 
-def decoded(text: Column) -> Column:
+def decoded(text: Column, known: Mapping[str, str] = ENTITIES) -> Column:
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else decode_entities(x))
+        return s.map(lambda x: None if x is None else decode_entities(x, known))
 
     return f(text)
+
+
+def events_of(html: Column, skip: tuple[str, ...] = SKIPPED) -> Column:
+    """UX2: the events of a page; ``name`` holds the text of text and comment events."""
+
+    @F.pandas_udf("array<struct<kind:string,name:string,attrs:map<string,string>>>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [e._asdict() for e in events(x, skip)])
+
+    return f(html)

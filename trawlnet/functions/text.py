@@ -82,3 +82,23 @@ def path_of(url: Column) -> Column:
 def strip_url(url: Column) -> Column:
     """URL8 on clean URLs: without query and fragment."""
     return F.regexp_replace(url, r"[?#].*$", "")
+
+
+def to_number(text: Column, kind: str = "bigint") -> Column:
+    """FN-CV1: a number in a text; null if there is none."""
+    return strip(text).try_cast(kind)
+
+
+def unichr(code: Column) -> Column:
+    """FN-UC1: the character of a code point; empty for 0, the replacement character for what is none."""
+    c = code.cast("long")
+    byte = lambda lead, shift: F.lpad(F.hex((F.lit(lead) + F.shiftright(c, shift) % 64).cast("long")), 2, "0")
+    first = lambda lead, shift: F.hex((F.lit(lead) + F.shiftright(c, shift)).cast("long"))
+    coded = (
+        F.when(c < 128, F.lpad(F.hex(c), 2, "0"))
+        .when(c < 0x800, F.concat(first(0xC0, 6), byte(0x80, 0)))
+        .when(c < 0x10000, F.concat(first(0xE0, 12), byte(0x80, 6), byte(0x80, 0)))
+        .otherwise(F.concat(first(0xF0, 18), byte(0x80, 12), byte(0x80, 6), byte(0x80, 0)))
+    )
+    invalid = (c < 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF)
+    return F.when(c == 0, "").when(invalid, "\ufffd").otherwise(F.unhex(coded).cast("string"))

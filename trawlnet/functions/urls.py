@@ -144,6 +144,53 @@ def fnv1_64(raw: bytes) -> int:
     return h
 
 
+def fnv1_32(raw: bytes) -> int:
+    """URL11: FNV-1 with 32 bits, bytes sign-extended likewise."""
+    h = 2166136261
+    for b in raw:
+        h = (h * 16777619) & 0xFFFFFFFF ^ (b if b < 128 else 0xFFFFFF00 | b)
+    return h
+
+
+_ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
+
+
+def decode_query(text: str) -> dict[str, str]:
+    """URL10: the pairs of a query string. Plus signs are spaces, stray percent signs stay, the last value of a key
+    wins; bytes that are no UTF-8 become the replacement character."""
+    plain = lambda x: _ESCAPE.sub(lambda m: bytes((int(m[1], 16),)), x.replace("+", " ").encode()).decode("utf-8", "replace")
+    pairs = (part.partition("=") for part in text.split("&") if part)
+    return {plain(k): plain(v) for k, _, v in pairs}
+
+
+def query_pairs(query: Column) -> Column:
+    @F.pandas_udf("map<string,string>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else decode_query(x))
+
+    return f(query)
+
+
+def without_dots(path: Column) -> Column:
+    """URL4 of a column."""
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else remove_dots(x))
+
+    return f(path)
+
+
+def percent_fixed(text: Column) -> Column:
+    """URL5 of a column; null where an escape is invalid."""
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _try(fix_percent, x))
+
+    return f(text)
+
+
 def normalize_url(url: Column, schemes: tuple[str, ...] = ("http",)) -> Column:
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:

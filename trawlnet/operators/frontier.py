@@ -67,3 +67,33 @@ def counter_deltas(samples: DataFrame, key: str, order: str, value: str) -> Data
     """WN5: the change of a counter from one sample of a key to the next."""
     w = Window.partitionBy(key).orderBy(order)
     return samples.withColumn("delta", F.col(value) - F.lag(value).over(w))
+
+
+def pending(listed: DataFrame, downloaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ST9: after a restart, the known paths (host, path) of all listed pages (doc_id, url), and those (host, path,
+    seq) that are still to be fetched, in the order of their ids."""
+    rows = frontier_add(listed.select("url", F.col("doc_id").alias("seq")))
+    left = listed.join(downloaded.select("doc_id"), "doc_id", "left_anti").select("url", F.col("doc_id").alias("seq"))
+    return rows.select("host", "path"), frontier_add(left)
+
+
+def crawl_counters(log: DataFrame, queues: DataFrame, now: Column | None = None) -> DataFrame:
+    """AG15, T13: one row: pages seen, crawled and downloaded by the log (status ``SEEN``, ``CRAW``, ``DOWN``), hosts,
+    paths queued, and hosts that are due or wait. Both inputs are summed before they meet."""
+    n = lambda *names: F.count_if(F.col("status").isin(*names))
+    pages = log.agg(F.count("*").alias("seen"), n("CRAW", "DOWN").alias("crawled"), n("DOWN").alias("downloaded"))
+    due = F.col("ts") <= now if now is not None else F.lit(True)
+    hosts = queues.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("queue_len"), F.lit(0)).alias("queued"), F.count_if(due).alias("active"), F.count_if(~due).alias("idle"))
+    return pages.join(F.broadcast(hosts))
+
+
+def log_rows(requests: DataFrame, now: Column | None = None) -> DataFrame:
+    """T11: ts, status, doc_id, url of handled requests (doc_id, url, downloaded)."""
+    ts = now if now is not None else F.current_timestamp()
+    return requests.select(ts.alias("ts"), F.when(F.col("downloaded"), "DOWN").otherwise("CRAW").alias("status"), "doc_id", "url")
+
+
+def error_rows(failures: DataFrame, now: Column | None = None) -> DataFrame:
+    """T12: ts, doc_id, url, msg of failed requests (doc_id, url, msg); null messages are empty."""
+    ts = now if now is not None else F.current_timestamp()
+    return failures.select(ts.alias("ts"), "doc_id", "url", F.coalesce("msg", F.lit("")).alias("msg"))

@@ -38,4 +38,4 @@ def render_results(results: DataFrame, score: str = "score") -> DataFrame:
     """SNK11, SV5: one HTML list item for each row (url, title, score), with its place; all text is escaped."""
     title = F.when(F.col("title") == "", F.col("url")).otherwise(F.col("title"))
     item = F.concat(F.lit('<li><a href="'), escaped(F.col("url")), F.lit('">'), escaped(title), F.lit("</a> "), F.round(score, 4).cast("string"), F.lit("</li>"))
-    return results.select("doc_id", item.alias("item"))
+    return results.select("doc_id", score, item.alias("item"))

@@ -8,26 +8,31 @@ from __future__ import annotations
 
 from collections import Counter
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.operators.index import Index
+from trawlnet.functions.text import ACCENTED, PLAIN, TOKEN
+from trawlnet.operators.index import Index, StoredIndex
 
 
 class UnknownTermError(ValueError):
     """A boolean query names a term that no document has."""
 
 
-def _normal(index: Index, words: list[str]) -> list[str]:
-    from trawlnet.functions.text import ACCENTED, PLAIN
-
+def _normal(words: list[str]) -> list[str]:
     return [w.lower().translate(str.maketrans(ACCENTED, PLAIN)) for w in words]
 
 
-def parse_boolean(query: str, default_op: str = "AND") -> list[tuple[str, str]]:
+def _words(query: str, strict: bool) -> list[str]:
+    """The query's words: what single spaces separate, or, if not ``strict``, its tokens as those of texts."""
+    return query.split(" ") if strict else regex.findall(TOKEN, query)
+
+
+def parse_boolean(query: str, default_op: str = "AND", strict: bool = True) -> list[tuple[str, str]]:
     """(operator, word) from left to right. Operators stay in force until the next; a leading one is a word."""
     op, out = default_op, []
-    for word in query.split(" "):
+    for word in _words(query, strict):
         if out and word in ("AND", "OR"):
             op = word
         else:
@@ -35,10 +40,12 @@ def parse_boolean(query: str, default_op: str = "AND") -> list[tuple[str, str]]:
     return out
 
 
-def boolean_query(index: Index, query: str, default_op: str = "AND") -> DataFrame:
+def boolean_query(index: Index | StoredIndex, query: str, default_op: str = "AND", strict: bool = True) -> DataFrame:
     """RT1, SET1-3: doc_id of the documents that match, strictly from left to right."""
-    steps = parse_boolean(query, default_op)
-    words = _normal(index, [w for _, w in steps])
+    steps = parse_boolean(query, default_op, strict)
+    if not steps:
+        raise UnknownTermError("")
+    words = _normal([w for _, w in steps])
     terms = sorted(set(words))
     hits = index.postings.where(F.col("term").isin(terms))
     known = {r["term"] for r in index.frequencies.where(F.col("term").isin(terms)).select("term").collect()}
@@ -52,9 +59,10 @@ def boolean_query(index: Index, query: str, default_op: str = "AND") -> DataFram
     return flags.where(match).select("doc_id")
 
 
-def vector_query(index: Index, query: str, k: int | None = None) -> DataFrame:
-    """RT2, SO3: doc_id, weight of documents with every term; a term that none has gives no rows."""
-    times = Counter(_normal(index, query.split(" ")))
+def vector_query(index: Index | StoredIndex, query: str, k: int | None = None, strict: bool = True) -> DataFrame:
+    """RT2, SO3: doc_id, weight of documents with every term; a term that none has gives no rows, nor does a query
+    without a word."""
+    times = Counter(_normal(_words(query, strict) or [""]))
     q = F.create_map(*[F.lit(x) for t, n in times.items() for x in (t, n)])
     wanted = F.col("term").isin(list(times))
     idf = F.log(F.lit(float(index.n_docs)) / F.col("df"))
