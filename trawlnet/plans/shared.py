@@ -26,9 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="trawlnet-"))
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that goes when the session ends."""
-    path = f"{shared_dir(spark)}/{name}"
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is there goes when the session ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
@@ -37,7 +37,7 @@ def _new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it. The files go when the session ends."""
     spark = df.sparkSession
-    path = _new_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,7 +45,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def materialise_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     """As ``materialise``, in ``buckets`` hash buckets of ``key``, one file each. The table's name is temporary."""
     spark = df.sparkSession
-    name = f"{tag}_{uuid.uuid4().hex}"
-    path = _new_path(spark, name)
+    path = new_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)

@@ -12,6 +12,7 @@ from trawlnet.operators import frontier as fr
 from trawlnet.operators import graph as gr
 from trawlnet.operators import index as ix
 from trawlnet.operators import retrieval as rt
+from trawlnet.plans.shared import new_path
 from trawlnet.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +158,30 @@ def vector_query_top10(spark, d):
     return rt.vector_query(_index(spark, d), "the thin", k=10).withColumn("weight", F.round("weight", 6))
 
 
+@query(_vector({"the": 1, "thin": 1}) + " SELECT doc_id, round(weight, 6) AS weight FROM hits")
+def vector_query_tokenised(spark, d):
+    return rt.vector_query(_index(spark, d), " The (thin)!", strict=False).withColumn("weight", F.round("weight", 6))
+
+
+@query(_vector({"the": 1, "thin": 1}) + " SELECT doc_id, round(weight, 6) AS weight FROM hits")
+def stored_index_query(spark, d):
+    """SNK4-6, SRC9, SRC10: the index is written, read again, and asked."""
+    docs = table(spark, d, "documents")
+    path = new_path(spark, "index")
+    ix.write_index(ix.term_frequencies(docs), path, docs.count())
+    return rt.vector_query(ix.StoredIndex(spark, path), "the thin").withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT url, row_number() OVER (ORDER BY url) - 1 AS doc_id FROM (SELECT DISTINCT url FROM pages)")
+def assigned_ids(spark, d):
+    return ix.assign_ids(table(spark, d, "pages").select("url").distinct(), "url")
+
+
+@query("SELECT doc_id, chr(CAST(doc_id + 1 AS INTEGER)) AS c FROM documents")
+def unichr_table(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.unichr(F.col("doc_id") + 1).alias("c"))
+
+
 _RANKS = "ranks AS (SELECT p_partkey AS doc_id, 0.15 + p_size / 10.0::DOUBLE AS pagerank FROM part)"
 
 
@@ -225,6 +250,31 @@ def frontier_bf(spark, d):
     return fr.frontier_pop(_queues(spark, d), policy="bf", k=20)
 
 
+_LOG = {"view": "SEEN", "click": "CRAW", "purchase": "DOWN"}
+
+
+@query(
+    _FRONTIER
+    + ", log AS (SELECT CASE event_type WHEN 'view' THEN 'SEEN' WHEN 'click' THEN 'CRAW' WHEN 'purchase' THEN 'DOWN' ELSE event_type END AS status FROM events), "
+    "a AS (SELECT count(*) AS seen, count(*) FILTER (status IN ('CRAW', 'DOWN')) AS crawled, count(*) FILTER (status = 'DOWN') AS downloaded FROM log), "
+    "b AS (SELECT count(*) AS hosts, CAST(coalesce(sum(queue_len), 0) AS BIGINT) AS queued, count(*) FILTER (ts <= 100) AS active, count(*) FILTER (ts > 100) AS idle FROM q) SELECT * FROM a, b"
+)
+def crawl_counters(spark, d):
+    status = F.col("event_type")
+    for a, b in _LOG.items():
+        status = F.when(F.col("event_type") == a, b).otherwise(status)
+    return fr.crawl_counters(table(spark, d, "events").select(status.alias("status")), _queues(spark, d), F.lit(100))
+
+
+@query(
+    f"SELECT {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, min(page_id) AS seq FROM pages "
+    f"WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') AND {_HOST.format('url')} <> '' GROUP BY 1, 2"
+)
+def restart_pending(spark, d):
+    listed = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return fr.pending(listed, table(spark, d, "documents").where("lang = 'en'"))[1]
+
+
 @query("SELECT doc_id, printf('%02X/%02X/%02X/%02X/data.gz', doc_id >> 24 & 255, doc_id >> 16 & 255, doc_id >> 8 & 255, doc_id & 255) AS path FROM documents")
 def docid_path(spark, d):
     return table(spark, d, "documents").select("doc_id", T.docid_path(F.col("doc_id")).alias("path"))

@@ -85,3 +85,25 @@ def robots_parse(spark, d):
     text = "User-agent: *\nAllow: /test1 # one\nDisallow: /test2\n\nUser-agent: other\nDisallow: /\n"
     rules = spark.createDataFrame([(text,)], "t string").select(F.explode(R.robots_of(F.col("t"))).alias("r"))
     return rules.select("r.prefix", "r.allow")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS headings, len(regexp_extract_all(html, '<!--')) AS comments FROM pages")
+def html_events(spark, d):
+    """UX2: start tags of headings, and comments, counted from the event stream."""
+    of = lambda *xs: F.size(F.filter("e", lambda e: (e["kind"] == xs[0]) & (F.lit(len(xs) == 1) | (e["name"] == xs[-1])))).cast("long")
+    rows = table(spark, d, "pages").select("page_id", H.events_of(F.col("html")).alias("e"))
+    return rows.select("page_id", of("tag", "h1").alias("headings"), of("comment").alias("comments"))
+
+
+@query("SELECT page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS decoded FROM pages")
+def path_decoded(spark, d):
+    """URL4, URL5: clean paths stay as they are."""
+    path = F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", U.percent_fixed(U.without_dots(path)).alias("decoded"))
+
+
+@query("SELECT page_id, k AS key, 'v ' || page_id AS value FROM pages, (VALUES ('a'), ('b c')) t(k)")
+def query_pairs(spark, d):
+    """URL10: the pairs of a query string made from each page's id; a repeated key keeps its last value."""
+    q = F.concat(F.lit("a=x&a=v+"), F.col("page_id"), F.lit("&b%20c=v%20"), F.col("page_id"))
+    return table(spark, d, "pages").select("page_id", F.explode(U.query_pairs(q)).alias("key", "value"))
