@@ -71,7 +71,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
 
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, k: int, damping: float = 0.85) -> list[DataFrame]:
     """The ranks before and after each of ``k`` iterations."""
-    shares = edges.join(out_degrees(edges), "src")
+    edges = materialise(edges, "edges")
+    shares = materialise(edges.join(out_degrees(edges), "src"), "shares")
     out = [nodes.withColumn("rank", F.lit(1.0))]
     for _ in range(k):
         out.append(pagerank_step(shares, out[-1], damping).select("id", "rank"))

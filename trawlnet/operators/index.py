@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trawlnet.functions.raw import postings_coded, postings_decoded
 from trawlnet.functions.text import normalize_term, tokens, vbyte_size
 from trawlnet.plans.shared import materialise
+from trawlnet.plans.spread import spread
 
 #: Document ids, or places in a list, of one block.
 BLOCK = 1 << 20
@@ -22,12 +23,6 @@ BLOCK = 1 << 20
 LIST_ROWS = 1 << 16
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if its files make fewer partitions than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """AG1: doc_id, term, freq."""
     texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))

@@ -9,6 +9,7 @@ from trawlnet.functions import raw as R
 from trawlnet.functions import urls as U
 from trawlnet.functions.text import ACCENTED, PLAIN
 from trawlnet.operators import index as ix
+from trawlnet.plans.spread import spread
 from trawlnet.plans.tables import table
 from trawlnet.registry import query
 
@@ -29,7 +30,7 @@ _PLAIN_TEXT = (
     f"SELECT page_id AS doc_id, translate(lower(t), '{ACCENTED}', '{PLAIN}') AS term, count(*) AS freq FROM w GROUP BY 1, 2"
 )
 def page_text_tokens(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.array_join(H.text_nodes_of(F.col("html")), " ").alias("text"))
+    pages = spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.array_join(H.text_nodes_of(F.col("html")), " ").alias("text"))
     return ix.term_frequencies(pages, "page_id")
 
 
@@ -64,7 +65,7 @@ def fnv_fingerprints(spark, d):
 @query()
 def link_graph(spark, d):
     """GR1: source and target fingerprints of stripped links, distinct."""
-    rows = table(spark, d, "pages").select("url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
+    rows = spread(table(spark, d, "pages").select("url", "html")).select("url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
     edges = rows.select(U.normalize_url(F.col("url")).alias("src"), U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
     return edges.select(U.fingerprint(F.col("src")).alias("src"), U.fingerprint(F.col("dst")).alias("dst")).distinct()
 
