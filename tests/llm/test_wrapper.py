@@ -92,3 +92,14 @@ def test_rows(spark, monkeypatch):
     monkeypatch.setattr(w, "FAN", 2)
     assert sorted(map(tuple, w.extract_digest(df).collect()), key=str) == want
     assert w.extract_digest(df.limit(0)).count() == 0
+
+
+def test_constant_blocks_among_varying_siblings_are_template():
+    pages = [page(i, "<p>Sign up today</p>" + "<p>more</p>" * (i % 3)) for i in range(40)]
+    assert text(pages[3], induce(pages)) == "word3 text 21\ntail 3"
+    assert text(pages[4], induce(pages)).split("\n") == ["word4 text 28", "more", "tail 4"]
+    # a value that many pages hold, but not equally often, is content; so is what a page's copies share
+    cells = [f"<table><tr><td>id {i}" + "<td>0" * (1 + i % 4) + "</table>" for i in range(40)]
+    assert text(cells[1], induce(cells)) == "id 1\n0\n0"
+    copies = [page(99)] * 900 + [page(i) for i in range(40)]
+    assert text(page(99), induce(copies)) == "word99 text 693\ntail 4"

@@ -2,17 +2,18 @@
 
 A lenient parser turns a page into a tree of block elements with runs of inline text. Blocks of one label under one
 parent are one node of the page's shape, as repeated items of a list are. Shapes of pages of a host are aligned by
-simple tree matching and merged into the host's template, whose nodes keep how many pages have text there and the
-least and greatest hash of that text. A node that holds the same text on every page of a host, among ``DISTINCT``
-different pages or more, is template; slots that vary are content. Since menus, adverts and footers vary too, slots
-under elements whose tag, role, id or class names such a part are no content either; where a page marks an article or
-main part, only what is in it is content.
+simple tree matching and merged into the host's template. The blocks of a node stay apart by their text: the node keeps
+how many pages hold a text there, and how often each of them does. A block whose text is there, as often, on a share
+``PRESENT`` of a host's pages is template, wherever it stands among its siblings; other blocks are content. Copies of a
+page prove nothing: ``DISTINCT`` different pages are needed, and half of a sample of them must hold the text. Since
+menus, adverts and footers vary too, slots under elements whose tag, role, id or class names such a part are no content
+either; where a page marks an article or main part, only what is in it is content.
 
 Merging is associative over statistics of bounded size: tasks merge the pages of their partition, then templates of
 ``FAN`` partitions at a time are merged, so no task ever gets all pages of a host. Pages are not shuffled: the
-templates are joined to them, by broadcast while they are at most ``BROADCAST_BYTES`` in all, otherwise by a join in
-which each host is spread over ``SALTS`` keys. A template beyond ``NODES`` nodes forgets those with least support;
-what it has forgotten is never template, so nothing is lost by that.
+templates, less the texts that are not constant, are joined to them, by broadcast while they are at most
+``BROADCAST_BYTES`` in all, otherwise by a join in which each host is spread over ``SALTS`` keys. A template beyond
+``NODES`` nodes or texts forgets those with least support; what it has forgotten is not template, and stays content.
 
 Defined results: null and empty html give an empty text; unterminated tags at the end are dropped, unterminated
 elements end with the page; beyond ``DEPTH`` open elements blocks lie side by side; a null URL's host is empty; repeated rows each give a row; other columns of the input are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -37,8 +39,10 @@ from trawlnet.plans.shared import materialise
 
 #: Different pages of a host before its constant nodes count as template; share of its pages that must have the node.
 DISTINCT, PRESENT = 16, 0.9
-#: Nodes of a template; partitions whose templates are merged at once.
-NODES, FAN = 3000, 32
+#: Least page hashes that are kept to tell copies of a page from different pages; at least ``DISTINCT``.
+SAMPLE = 16
+#: Nodes, and texts, of a template; partitions whose templates are merged at once; shapes, and pages of one, between a task's prunings.
+NODES, FAN, FOLD = 3000, 32, 64
 BROADCAST_BYTES, SALTS = 16 << 20, 32
 #: Open elements beyond which further blocks only end a run of text, without a node of their own.
 DEPTH = 200
@@ -70,11 +74,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("label", "kids", "part", "main")
+    __slots__ = ("label", "kids", "part", "main", "text")
 
     def __init__(self, label: str, part: bool = False, main: bool = False):
         self.label, self.part, self.main = label, part, main
         self.kids: list = []
+        self.text: int | None = None
 
 
 def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
@@ -176,23 +181,26 @@ def parse(html: str) -> Block:
     return root
 
 
-# A shape is [label, texts, {label: shape}]; a template node is [label, pages, least, greatest, [nodes]].
+# A shape is [label, {text hash: blocks}, {label: shape}]; a template node is [label, pages, 0, {key: [pages, page hashes]}, [nodes]]. A key stands for
+# a text and how often a page holds it in that slot; its page hashes are the ``SAMPLE`` least of the pages that do.
 
 
 def shape_of(block: Block) -> list:
-    out = [block.label, [], {}]
+    out = [block.label, {}, {}]
     _fold(out, block)
     return out
 
 
 def _fold(shape: list, block: Block) -> None:
+    texts = [k for k in block.kids if isinstance(k, str)]
+    if texts:
+        block.text = xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "replace"))
+        shape[1][block.text] = shape[1].get(block.text, 0) + 1
     for kid in block.kids:
-        if isinstance(kid, str):
-            shape[1].append(kid)
-        else:
+        if not isinstance(kid, str):
             below = shape[2].get(kid.label)
             if below is None:
-                below = shape[2][kid.label] = [kid.label, [], {}]
+                below = shape[2][kid.label] = [kid.label, {}, {}]
             _fold(below, kid)
 
 
@@ -201,10 +209,14 @@ def skeleton(shape: list) -> str:
     return f"{shape[0]}({','.join([skeleton(s) for s in shape[2].values()])})"
 
 
-def leaf_template(shape: list) -> list:
-    """The template of one page."""
-    h = xxhash.xxh64_intdigest("\n".join(shape[1]).encode("utf-8", "replace")) if shape[1] else 0
-    return [shape[0], int(bool(shape[1])), h, h, [leaf_template(s) for s in shape[2].values()]]
+def _key(text: int, times: int) -> str:
+    return f"{text:x}.{times}"
+
+
+def leaf_template(shape: list, page: int = 0) -> list:
+    """The template of one page, whose hash is ``page``."""
+    keys = {_key(h, n): [1, [page]] for h, n in shape[1].items()}
+    return [shape[0], int(bool(keys)), 0, keys, [leaf_template(s, page) for s in shape[2].values()]]
 
 
 def match(a: list, b: list) -> int:
@@ -240,17 +252,33 @@ def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
 
 def merge(a: list, b: list) -> list:
     """The template of the pages of both; the labels of the roots are equal."""
-    seen = [x for x in (a, b) if x[1]]
     kids = []
     for i, j in align(a, b):
         kids.append(b[4][j] if i is None else a[4][i] if j is None else merge(a[4][i], b[4][j]))
-    return [a[0], a[1] + b[1], min((x[2] for x in seen), default=0), max((x[3] for x in seen), default=0), kids]
+    return [a[0], a[1] + b[1], 0, _add_keys(dict(a[3] or {}), b[3] or {}), kids]
+
+
+def _add_keys(to: dict, more: dict) -> dict:
+    """Add the counts of ``more`` to ``to``, whose values are replaced, not changed."""
+    for k, (n, pages) in more.items():
+        if k in to:
+            m, own = to[k]
+            if own != pages and (len(own) < SAMPLE or pages[0] < own[-1]):
+                own = sorted({*own, *pages})[:SAMPLE]
+            to[k] = [m + n, own]
+        else:
+            to[k] = [n, pages]
+    return to
 
 
 def _size(t: list) -> int:
     return 1 + sum(map(_size, t[4]))
 
 
+def _texts(t: list) -> int:
+    return len(t[3]) + sum(map(_texts, t[4]))
+
+
 def _support(t: list) -> int:
     return max([t[1], *map(_support, t[4])])
 
@@ -259,24 +287,33 @@ def _prune(t: list, least: int) -> list:
     return [*t[:4], [_prune(x, least) for x in t[4] if _support(x) >= least]]
 
 
-def bounded(t: list) -> list:
+def _prune_texts(t: list, least: int) -> list:
+    return [*t[:3], {k: v for k, v in t[3].items() if v[0] >= least}, [_prune_texts(x, least) for x in t[4]]]
+
+
+def bounded(t: list, pages: int) -> list:
+    """``t`` of ``pages`` pages with the texts and nodes of most support; texts of half of the pages always stay."""
     least = 2
     while _size(t) > NODES:
         t = _prune(t, least)
         least *= 2
+    least = 2
+    while 2 * least <= pages and _texts(t) > NODES:
+        t = _prune_texts(t, least)
+        least *= 2
     return t
 
 
 class HostTemplate:
-    """Pages, the ``DISTINCT`` least hashes of different pages, and the template."""
+    """Pages, the ``SAMPLE`` least hashes of different pages, and the template."""
 
     def __init__(self, pages: int, different: list[int], tree: list):
         self.pages, self.different, self.tree = pages, different, tree
 
     def add(self, other: HostTemplate) -> None:
         self.pages += other.pages
-        self.different = sorted({*self.different, *other.different})[:DISTINCT]
-        self.tree = bounded(merge(self.tree, other.tree))
+        self.different = sorted({*self.different, *other.different})[:SAMPLE]
+        self.tree = bounded(merge(self.tree, other.tree), self.pages)
 
     def dump(self) -> str:
         return json.dumps([self.pages, self.different, self.tree], separators=(",", ":"))
@@ -289,8 +326,8 @@ class HostTemplate:
 def _add_counts(a: list, b: list) -> None:
     """Add ``b`` to ``a`` in place, both of the same skeleton."""
     if b[1]:
-        a[2], a[3] = (min(a[2], b[2]), max(a[3], b[3])) if a[1] else (b[2], b[3])
         a[1] += b[1]
+        _add_keys(a[3], b[3])
     for x, y in zip(a[4], b[4]):
         _add_counts(x, y)
 
@@ -298,18 +335,31 @@ def _add_counts(a: list, b: list) -> None:
 def _page_templates(hosts: list[str], htmls: list[str | None], known: dict[str, dict[str, HostTemplate]]) -> None:
     for host, page in zip(hosts, htmls):
         shape = shape_of(parse(page or ""))
-        own = leaf_template(shape)
+        digest = xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))
+        own = leaf_template(shape, digest)
         key = skeleton(shape)
-        one = HostTemplate(1, [xxhash.xxh64_intdigest((page or "").encode("utf-8", "replace"))], own)
         same = known.setdefault(host, {})
         if key in same:
             t = same[key]
             t.pages += 1
-            if one.different[0] not in t.different:
-                t.different = sorted([*t.different, one.different[0]])[:DISTINCT]
+            if digest not in t.different:
+                t.different = sorted([*t.different, digest])[:SAMPLE]
             _add_counts(t.tree, own)
+            if t.pages % FOLD == 0:
+                t.tree = bounded(t.tree, t.pages)
         else:
-            same[key] = one
+            if len(same) >= FOLD:
+                total = _total(same)
+                same.clear()
+                same[""] = total
+            same[key] = HostTemplate(1, [digest], own)
+
+
+def _total(own: dict[str, HostTemplate]) -> HostTemplate:
+    first, *others = [t for _, t in sorted(own.items(), key=lambda x: (-x[1].pages, x[0]))]
+    for t in others:
+        first.add(t)
+    return first
 
 
 def _host(url):
@@ -340,7 +390,13 @@ def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
         out = out.withColumn("part", F.expr(f"part DIV {FAN}")).repartition("host", "part").mapInArrow(again, schema)
         out = materialise(out, "templates")
         left = out.agg(F.max("part")).first()[0] or 0
-    return out.select("host", "template")
+    return map_columns(out.select("host", "template"), "host string, template string", lambda: lambda hosts, texts: [hosts, [_constants(t) for t in texts]])
+
+
+def _constants(text: str) -> str:
+    t = HostTemplate.load(text)
+    t.tree = _prune_texts(t.tree, math.ceil(PRESENT * t.pages))
+    return t.dump()
 
 
 def _emit(groups: dict[tuple[str, int], list[tuple[str, HostTemplate]]]) -> Iterator[pa.RecordBatch]:
@@ -362,24 +418,28 @@ class Wrapper:
         self._of = HostTemplate.load(template) if template else None
         if self._of and len(self._of.different) < DISTINCT:
             self._of = None
-        self._known: dict[str, set[tuple[str, ...]]] = {}
+        self._known: dict[str, dict[tuple[str, ...], set[str]]] = {}
 
-    def _constant(self, shape: list) -> set[tuple[str, ...]]:
-        """Paths of labels whose slots are template."""
+    def _constant(self, shape: list) -> dict[tuple[str, ...], set[str]]:
+        """Keys of the texts that are template, by the path of labels of their slot."""
         if self._of is None:
-            return set()
+            return {}
         key = skeleton(shape)
         if key not in self._known:
             if len(self._known) > 5000:
                 self._known.clear()
-            found: set[tuple[str, ...]] = set()
+            found: dict[tuple[str, ...], set[str]] = {}
             self._walk(self._of.tree, leaf_template(shape), (), found)
             self._known[key] = found
         return self._known[key]
 
-    def _walk(self, t: list, own: list, path: tuple[str, ...], found: set) -> None:
-        if t[1] >= PRESENT * self._of.pages and t[2] == t[3]:
-            found.add(path)
+    def _walk(self, t: list, own: list, path: tuple[str, ...], found: dict) -> None:
+        sample = set(self._of.different)
+        # a full sample only tells copies from different pages; a smaller one is all the different pages
+        least = len(sample) * (PRESENT if len(sample) < SAMPLE else 0.5)
+        keys = {k for k, (n, pages) in t[3].items() if n >= PRESENT * self._of.pages and len(sample.intersection(pages)) >= least}
+        if keys:
+            found[path] = keys
         for i, j in align(t, own):
             if i is not None and j is not None:
                 self._walk(t[4][i], own[4][j], (*path, own[4][j][0]), found)
@@ -388,9 +448,10 @@ class Wrapper:
         if not html:
             return ""
         root = parse(html)
-        constant = self._constant(shape_of(root))
+        shape = shape_of(root)
+        constant = self._constant(shape)
         out: list[str] = []
-        _content(root, (), constant, out, not _has_main(root), False)
+        _content(root, (), shape, constant, out, not _has_main(root), False)
         return "\n".join(out)
 
 
@@ -398,14 +459,16 @@ def _has_main(block: Block) -> bool:
     return any(not isinstance(k, str) and not k.part and (k.main or _has_main(k)) for k in block.kids)
 
 
-def _content(block: Block, path: tuple[str, ...], constant: set, out: list[str], inside: bool, in_main: bool) -> None:
+def _content(block: Block, path: tuple[str, ...], shape: list, constant: dict, out: list[str], inside: bool, in_main: bool) -> None:
+    keys = constant.get(path)
+    own = inside and not (keys and block.text is not None and _key(block.text, shape[1][block.text]) in keys)
     for kid in block.kids:
         if isinstance(kid, str):
-            if inside and path not in constant:
+            if own:
                 out.append(kid)
         elif not kid.part or in_main and kid.label == "header":
             main = in_main or kid.main
-            _content(kid, (*path, kid.label), constant, out, inside or kid.main, main)
+            _content(kid, (*path, kid.label), shape[2][kid.label], constant, out, inside or kid.main, main)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
