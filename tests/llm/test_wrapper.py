@@ -103,3 +103,14 @@ def test_constant_blocks_among_varying_siblings_are_template():
     assert text(cells[1], induce(cells)) == "id 1\n0\n0"
     copies = [page(99)] * 900 + [page(i) for i in range(40)]
     assert text(page(99), induce(copies)) == "word99 text 693\ntail 4"
+
+
+def test_end_tags_beyond_the_depth_stay_balanced():
+    deep = "<div>" * 300 + "text" + "</div>" * 300
+    assert text(f"<body><div><article>{deep}<p>after</p></article></div><p>out</p>") == "text\nafter"
+    down, up = "<div>" * 250, "</div>" * 250
+    assert text(f"{down}no<article><p>a</p><header>h</header><div>b</div></article>no{up}no") == "a\nh\nb"
+    assert text(f"{down}<p>a</p><nav>n<div>n</div></nav><p>b</p>{up}c") == "a\nb\nc"
+    assert text("<b>" * 250 + "<div><article>in</article>out") == "in"
+    assert text("<div>" * 3000 + "<span class=ad>no<span>no</span>no</span>yes") == "yes"
+    assert text("<div>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000 + "<p>a" * 1000).count("a") == 1000

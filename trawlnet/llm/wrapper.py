@@ -16,8 +16,8 @@ templates, less the texts that are not constant, are joined to them, by broadcas
 ``NODES`` nodes or texts forgets those with least support; what it has forgotten is not template, and stays content.
 
 Defined results: null and empty html give an empty text; unterminated tags at the end are dropped, unterminated
-elements end with the page; beyond ``DEPTH`` open elements blocks lie side by side; a null URL's host is empty; repeated rows each give a row; other columns of the input are
-ignored.
+elements end with the page; beyond ``DEPTH`` open blocks further ones are runs of text of the enclosing one; a null
+URL's host is empty; repeated rows each give a row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SAMPLE = 16
 #: Nodes, and texts, of a template; partitions whose templates are merged at once; shapes, and pages of one, between a task's prunings.
 NODES, FAN, FOLD = 3000, 32, 64
 BROADCAST_BYTES, SALTS = 16 << 20, 32
-#: Open elements beyond which further blocks only end a run of text, without a node of their own.
+#: Open blocks beyond which further ones only end runs of text and share the enclosing node, but for the first main part there.
 DEPTH = 200
 
 # fixed values: elements by kind, and names of parts that are no content
@@ -74,10 +74,11 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("label", "kids", "part", "main", "text")
+    __slots__ = ("label", "kids", "part", "main", "text", "depth", "in_main")
 
-    def __init__(self, label: str, part: bool = False, main: bool = False):
+    def __init__(self, label: str, part: bool = False, main: bool = False, above: Block | None = None):
         self.label, self.part, self.main = label, part, main
+        self.depth, self.in_main = (above.depth + 1, main or above.in_main) if above else (0, main)
         self.kids: list = []
         self.text: int | None = None
 
@@ -102,7 +103,10 @@ def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
 def parse(html: str) -> Block:
     """The tree of blocks; inline text is a string in ``kids``, with white space as single spaces."""
     root = Block("#")
-    stack: list[tuple[str, Block | None, bool]] = [("#", root, False)]  # inline elements have no block
+    # name, block (of an inline element: None; beyond DEPTH: the enclosing one), whether its text is hidden
+    stack: list[tuple[str, Block | None, bool]] = [("#", root, False)]
+    places: dict[str, list[int]] = {}  # of the open elements of a name in the stack
+    blocks = [0]  # places of block elements
     block, hidden, run = root, 0, []
 
     def flush() -> None:
@@ -113,13 +117,25 @@ def parse(html: str) -> Block:
                 block.kids.append(text)
             run.clear()
 
+    def push(name: str, own: Block | None, hid: bool) -> None:
+        nonlocal hidden
+        places.setdefault(name, []).append(len(stack))
+        if own:
+            blocks.append(len(stack))
+        stack.append((name, own, hid))
+        hidden += hid
+
     def pop_to(k: int) -> None:
         nonlocal block, hidden
-        flush()
-        for _, _, hid in stack[k:]:
+        if blocks[-1] >= k:
+            flush()
+        while len(stack) > k:
+            name, own, hid = stack.pop()
+            places[name].pop()
+            if own:
+                blocks.pop()
             hidden -= hid
-        del stack[k:]
-        block = next(b for _, b, _ in reversed(stack) if b)
+        block = stack[blocks[-1]][1]
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -131,16 +147,9 @@ def parse(html: str) -> Block:
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in _BLOCKS:
-                        pop_to(k)
-                    else:
-                        hidden -= sum(hid for _, _, hid in stack[k:])
-                        del stack[k:]
-                    break
-                if stack[k][1] and name not in _BLOCKS:
-                    break
+            k = places[name][-1] if places.get(name) else 0
+            if k and (name in _BLOCKS or k > blocks[-1]):
+                pop_to(k)
             continue
         if name == "br":
             if not hidden:
@@ -148,32 +157,33 @@ def parse(html: str) -> Block:
             continue
         first, part, main = _marks(name, m["attrs"] or m["attrs2"] or "")
         if name not in _BLOCKS:
-            if name not in _VOID and (len(stack) < 10 * DEPTH or part):
-                stack.append((name, None, part and name != "input"))
-                hidden += stack[-1][2]
+            if name not in _VOID:
+                push(name, None, part and name != "input")
             continue
         closes = _SAME.get(name, ())
         if name in _CLOSES_P:
             closes = (*closes, "p")
         if closes:
-            for k in range(len(stack) - 1, 0, -1):
+            at_block = len(blocks) - 1
+            while at_block > 0:
+                k = blocks[at_block]
                 if stack[k][0] in closes:
                     pop_to(k)
                     if stack[k - 1][0] not in closes or name == "p":
                         break
-                elif stack[k][1] and not (stack[k][0] == "p" or name == "tr" and stack[k][0] in ("td", "th")):
+                elif not (stack[k][0] == "p" or name == "tr" and stack[k][0] in ("td", "th")):
                     break
+                at_block -= 1
         flush()
         if name == "hr":
             continue
-        if len(stack) > DEPTH:
-            if part:
-                stack.append((name, None, True))
-                hidden += 1
+        label = f"{name}.{first}" if first else name
+        if block.depth >= DEPTH and (block.in_main or not main or part):
+            push(name, block, part and not (block.in_main and label == "header"))
             continue
-        node = Block(f"{name}.{first}" if first else name, part or bool(hidden), main)
+        node = Block(label, part or bool(hidden), main, block)
         block.kids.append(node)
-        stack.append((name, node, False))
+        push(name, node, False)
         block = node
     if at < len(html) and not hidden:
         run.append(html[at:])
