@@ -114,3 +114,11 @@ def test_end_tags_beyond_the_depth_stay_balanced():
     assert text("<b>" * 250 + "<div><article>in</article>out") == "in"
     assert text("<div>" * 3000 + "<span class=ad>no<span>no</span>no</span>yes") == "yes"
     assert text("<div>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000 + "<p>a" * 1000).count("a") == 1000
+
+
+def test_small_hosts_have_templates_too():
+    for n in (2, 5, 9):
+        pages = [page(i) for i in range(n)]
+        assert text(pages[1], induce(pages)) == "word1 text 7\ntail 1"
+    assert "All rights" in text(page(1), induce([page(1), page(2), page(3).replace("All rights", "Some rights")]))
+    assert "All rights" in text(page(1), induce([page(1)]))

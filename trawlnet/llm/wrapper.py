@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from trawlnet.plans.arrow import map_columns, pieces
 from trawlnet.plans.shared import materialise
 
-#: Different pages of a host before its constant nodes count as template; share of its pages that must have the node.
-DISTINCT, PRESENT = 16, 0.9
+#: Different pages of a host before its constant texts count as template; share of its pages that must have the text: all, where they are few.
+DISTINCT, PRESENT = 2, 0.9
 #: Least page hashes that are kept to tell copies of a page from different pages; at least ``DISTINCT``.
 SAMPLE = 16
 #: Nodes, and texts, of a template; partitions whose templates are merged at once; shapes, and pages of one, between a task's prunings.
