@@ -122,3 +122,11 @@ def test_small_hosts_have_templates_too():
         assert text(pages[1], induce(pages)) == "word1 text 7\ntail 1"
     assert "All rights" in text(page(1), induce([page(1), page(2), page(3).replace("All rights", "Some rights")]))
     assert "All rights" in text(page(1), induce([page(1)]))
+
+
+def test_attributes_count_by_their_exact_names():
+    inner = "<article><p>a</p></article>"
+    for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden gem"', 'data-id="menu"', "data-class=nav", "title='class=ad'", "href=/x?id=menu", "data-role = dialog"):
+        assert text(f"<div {attrs}>{inner}</div>") == "a", attrs
+    for attrs in ("hidden", "HIDDEN=''", 'x="1"class="ad"', "id = 'menu'", "x/role=dialog", "data-x='1' class=nav"):
+        assert text(f"<div {attrs}><p>n</p></div><p>a") == "a", attrs

@@ -69,7 +69,7 @@ _TOKEN = re.compile(
     rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})(?P<close>>|\Z)|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)(?P<close2>>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -93,7 +93,7 @@ def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
                 part, main = part or value in _ROLES, main or value in ("main", "article")
             elif key == "hidden":
                 part = True
-            else:
+            elif key in ("class", "id"):
                 if key == "class" and value.split():
                     first = value.split()[0]
                 part = part or not _NAMES.isdisjoint(_SPLIT.split(value))
