@@ -1,13 +1,17 @@
 """License scans (operator 7), with DataFrame functions only.
 
 Base: the places where a phrase's words stand consecutively. The method: an exact set-similarity join of text blocks
-(lines) with license templates. A template's tokens are ordered by how many documents hold them, rarest first. A block
+with license templates. Blocks are lines and, for texts wrapped over lines, windows of words: a template of m words is
+sought in every m / ``THRESHOLD`` consecutive words of a paragraph, so that as large a share may be foreign, as comment
+marks that are words. Lines without words part paragraphs. Lines that only follow each other shall not add up, so a
+window must also hold a share ``THRESHOLD`` of the template's words in their order. A template's tokens are ordered by how many documents hold them, rarest first. A block
 that holds a share ``THRESHOLD`` of a template's ``n`` tokens, ``need`` of them, holds one of the first ``n - need + 1``
 (prefix filter) and has ``need`` template tokens or more (length filter); and what can still follow a shared token on
 both sides bounds the overlap (positional filter). Pairs that pass are counted exactly.
 
-Texts are read twice: once for the frequencies of the templates' tokens, once for words, phrases and the lines that
-hold a prefix token. Only those lines are exploded. The table of template tokens is broadcast; ``MAX_TOKENS`` bounds it.
+Texts are read twice: once for the frequencies of the templates' tokens, once for words, phrases and the blocks that
+hold a prefix token: lines, and spans of the words around each prefix token, in which every window with that token lies.
+Only those are exploded; a span is joined as a block is, and its windows are counted for the pairs that pass. The table of template tokens is broadcast; ``MAX_TOKENS`` bounds it.
 
 Defined results: null text counts as empty; words are told apart after lower-casing A-Z only; without a place first
 and last word are null; without a label the labels are empty strings; without a matching block the score is 0; repeated
@@ -49,6 +53,8 @@ TEMPLATES = (
 
 #: What separates words, in a text whose A-Z are not yet lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates paragraphs: line breaks with no word between them.
+_BREAK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +90,18 @@ def _places(low: Column, words: list[str], label: str) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(label).alias("label")))
 
 
+def _in_order(some: Column, words: Column) -> Column:
+    """Length of the longest common subsequence of two arrays; null is no element of ``words``."""
+    none = F.transform(F.concat(F.array(F.lit(0)), words), lambda _: F.lit(0))
+
+    def longer(row: Column, x: Column) -> Column:
+        best = lambda out, k: F.greatest(F.element_at(out, -1), F.get(row, k + 1), F.get(row, k) + F.get(words, k).eqNullSafe(x).cast("int"))
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        return F.aggregate(places, F.array(F.lit(0)), lambda out, k: F.concat(out, F.array(best(out, k))))
+
+    return F.element_at(F.aggregate(some, none, longer), -1)
+
+
 def scan(
     docs: DataFrame,
     phrases: Sequence[tuple[str, str]] = PHRASES,
@@ -101,14 +119,15 @@ def scan(
     n_docs = token_frequencies(docs, vocabulary, text_col)
     order = sorted(vocabulary, key=lambda t: (n_docs[t], t))
     rank = {t: i for i, t in enumerate(order)}
-    rows, prefixes = [], set()
+    rows, prefixes, widths = [], set(), [math.ceil(len(text.split()) / threshold - 1e-9) for _, text in templates]
     for k, (label, s) in enumerate(sets):
         ranks = sorted(rank[t] for t in s)
         need = math.ceil(threshold * len(ranks) - 1e-9)
         for at, r in enumerate(ranks[: len(ranks) - need + 1]):
-            rows.append((k, label, r, at, need, len(ranks), ranks))
+            rows.append((k, label, r, at, need, len(ranks), ranks, widths[k], [rank[t] for t in templates[k][1].split()]))
             prefixes.add(order[r])
-    table = spark.createDataFrame(rows, "template int, label string, rank int, at int, need int, size int, ranks array<int>")
+    table = spark.createDataFrame(rows, "template int, label string, rank int, at int, need int, size int, ranks array<int>, width int, words array<int>")
+    reach = max(widths) - 1
     least = min(r[4] for r in rows)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -126,26 +145,48 @@ def scan(
         held = F.filter(tokens, lambda x: F.arrays_overlap(x, _strings(sorted(prefixes))) & (F.size(x) >= least))
         return F.when(F.arrays_overlap(F.split(F.lower(text), _GAP), _strings(sorted(prefixes))), held)
 
+    def spans(low: Column) -> Column:
+        """The words of a paragraph around each prefix token."""
+        at = F.filter(F.transform(low, lambda x, i: F.when(x.isin(sorted(prefixes)), i)), lambda i: i.isNotNull())
+        first = lambda i: F.greatest(i - reach, F.lit(0))
+        around = F.array_distinct(F.transform(at, lambda i: F.slice(low, first(i) + 1, i - first(i) + reach + 1)))
+        return F.filter(around, lambda x: F.size(F.array_intersect(x, _strings(order))) >= least)
+
+    def of_paragraphs() -> Column:
+        held = F.filter(F.split(text, _BREAK), lambda p: F.contains(p, F.lit("\n")))
+        return F.flatten(F.transform(held, lambda p: _let(_words(_low(p)), spans)))
+
+    wrapped = F.contains(text, F.lit("\n")) & F.arrays_overlap(F.split(F.lower(text), _GAP), _strings(sorted(prefixes)))
     of_words = _let(
         _words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.when(maybe, _let(F.transform(w, _low), places)).otherwise(none).alias("places"),
             lines(w).alias("lines"),
+            F.when(wrapped, of_paragraphs()).alias("spans"),
         ),
     )
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), of_words.alias("_w")).select("_row", id_col, "_w.*")
     base = materialise(base, "licenses")
 
-    blocks = base.where("size(lines) > 0").select("_row", F.posexplode("lines").alias("block", "tokens"))
+    words = F.lit(None).cast("array<string>")
+    own_lines = base.where("size(lines) > 0").select("_row", F.explode("lines").alias("tokens"), words.alias("words"))
+    own_spans = base.where("size(spans) > 0").select("_row", F.explode("spans").alias("words")).select("_row", F.array_distinct("words").alias("tokens"), "words")
+    blocks = own_lines.union(own_spans)
     by_token = F.create_map(*[F.lit(x) for t in order for x in (t, rank[t])])
     ranked = F.array_sort(F.transform(F.array_intersect("tokens", _strings(order)), lambda t: F.element_at(by_token, t)))
-    blocks = blocks.select("_row", "block", ranked.alias("b")).where(F.size("b") >= least)
-    probes = blocks.select("_row", "block", "b", F.posexplode("b").alias("b_at", "rank"))
+    blocks = blocks.select("_row", ranked.alias("b"), F.transform("words", lambda t: F.element_at(by_token, t)).alias("r")).where(F.size("b") >= least)
+    probes = blocks.select("_row", "b", "r", F.posexplode("b").alias("b_at", "rank"))
     rest = F.least(F.col("size") - F.col("at"), F.size("b") - F.col("b_at"))
     pairs = probes.join(F.broadcast(table), "rank").where((F.size("b") >= F.col("need")) & (F.least("at", "b_at") + rest >= F.col("need")))
     shared = F.size(F.array_intersect("b", "ranks"))
-    hits = pairs.where(shared >= F.col("need")).select("_row", "label", (shared / F.col("size")).alias("share"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("r") - F.col("width") + 1, F.lit(1)))
+    windows = F.transform(starts, lambda i: F.slice("r", i, F.col("width")))
+    held = F.filter(windows, lambda x: F.size(F.array_intersect(x, "ranks")) >= F.col("need"))
+    held = F.filter(held, lambda x: _in_order(x, F.col("words")) >= F.ceil(F.size("words") * threshold - 1e-9))
+    in_window = F.array_max(F.transform(held, lambda x: F.size(F.array_intersect(x, "ranks"))))
+    pairs = pairs.where(shared >= F.col("need")).withColumn("shared", F.when(F.col("r").isNull(), shared).otherwise(in_window))
+    hits = pairs.where(F.col("shared") >= F.col("need")).select("_row", "label", (F.col("shared") / F.col("size")).alias("share"))
     by_row = hits.groupBy("_row").agg(F.collect_set("label").alias("_more"), F.max("share").alias("score"))
 
     at, base_labels = F.transform("places", lambda p: p["i"]), F.array_distinct(F.transform("places", lambda p: p["label"]))
