@@ -97,3 +97,15 @@ def test_rounds_over_many_partitions(spark, monkeypatch, task_rows):
             at += n
         assert at <= 100
     assert len(seqs) <= 1.06 * sum(r.length for r in rows) / 100
+
+
+def test_added_tokens_are_the_librarys(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.ADDED == {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+    own = lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x  <|endoftext|>\n\n y", "<|endoftext|", "<|<|endoftext|>endoftext|>", "a<|endoftext|> " * 900]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choices(["<|endoftext|>", " ", "ab", "\n", "é", "<|", "1"], k=40)) for _ in range(100)]
+    docs = list(enumerate(texts))
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), RANKS).collect()
+    check(rows, docs, own)

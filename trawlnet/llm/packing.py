@@ -8,8 +8,8 @@ left or a round no longer helps. A partition never holds more than about ``TASK_
 whatever the input, and no round sees what an earlier one has emitted.
 
 The ids are those of the ``tokenizers`` library for ``byte_bpe_50k.json``. They are made from the rank file of the same
-vocabulary through ``bpe``, about eight times as fast; the tests hold both against each other. The text of a special
-token is ordinary text.
+vocabulary through ``bpe``, about eight times as fast; the tests hold both against each other. The text of an added
+token (``ADDED``) is that token, as the library has it by default, and parts the text on both sides.
 
 Defined results: null text counts as empty, and an empty text is one piece of one token; repeated rows, and rows that
 share an id or have none, each have their own pieces; other columns of the input are ignored.
@@ -17,6 +17,7 @@ share an id or have none, each have their own pieces; other columns of the input
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,9 @@ from trawlnet.plans.arrow import map_columns
 from trawlnet.plans.shared import materialise
 
 LIMIT = 2048
+#: Added tokens of ``byte_bpe_50k.json`` and their ids; the rank file has none.
+ADDED = {"<|endoftext|>": 50256}
+_ADDED = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 #: Free tokens up to which a bin is emitted at once.
 SLACK = 4
 #: Pieces that a task of a later round gets, on average; bins that must go in a round for another to follow.
@@ -45,6 +49,13 @@ def cut_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [first] * bool(first) + [limit] * (n // limit)
 
 
+def encode_bytes(encoding, text: str) -> bytes:
+    """The library's ids of ``text``, added tokens included, as little-endian unsigned 32-bit integers."""
+    if not _ADDED.search(text):
+        return bpe.encode_bytes(encoding, text)
+    return b"".join(ADDED[x].to_bytes(4, "little") if x in ADDED else bpe.encode_bytes(encoding, x) for x in _ADDED.split(text))
+
+
 def document_pieces(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """``id_col``, piece, start, length, ids_crc32, and with ``with_ids`` also ids (little-endian unsigned 32-bit)."""
 
@@ -55,7 +66,7 @@ def document_pieces(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_
         def run(keys: list, texts: list) -> list:
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for key, text in zip(keys, texts):
-                raw = bpe.encode_bytes(encoding, text or "") + end
+                raw = encode_bytes(encoding, text or "") + end
                 at = 0
                 for k, n in enumerate(cut_lengths(len(raw) // 4, limit)):
                     ids = raw[4 * at : 4 * (at + n)]
