@@ -133,3 +133,20 @@ def test_restart_and_counters(spark):
     empty = fr.crawl_counters(log.limit(0), fr.host_queues(left.limit(0))).first()
     assert (empty.seen, empty.hosts, empty.queued, empty.idle) == (0, 0, 0, 0)
     assert fr.error_rows(spark.createDataFrame([(1, "u", None)], "doc_id long, url string, msg string")).first().msg == ""
+
+
+def test_all_links_are_resolved(spark):
+    import re
+    from urllib.parse import quote, urldefrag, urljoin
+
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    rows = entry.queries()["all_resolved_links"](spark, d).collect()
+    links = {(i, link) for i, r in pages.items() for link in re.findall('<a href="([^"]*)"', r.html)}
+    assert len(rows) == len(links) and {(r.page_id, r.link) for r in rows} == links
+    for r in rows:
+        full = quote(urldefrag(urljoin(pages[r.page_id].url, r.link))[0], safe="/:?&=%,;+")
+        http = pages[r.page_id].url.startswith("http://") and full.startswith("http://")
+        assert r.target == (full if http else None), r

@@ -51,6 +51,13 @@ def resolved_links(spark, d):
     return rows.select("page_id", "link", U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("target"))
 
 
+@query()
+def all_resolved_links(spark, d):
+    """Every link of every page; a target is null where the page or the link has a scheme other than http."""
+    rows = table(spark, d, "pages").select("page_id", "url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
+    return rows.select("page_id", "link", U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("target"))
+
+
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS normal FROM pages WHERE starts_with(url, 'http://')")
 def normalize_url(spark, d):
     http = table(spark, d, "pages").where(F.col("url").startswith("http://"))
