@@ -218,12 +218,13 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
 
 
-#: In the pipeline, documents whose score is lower go, and those without a letter.
+#: In the pipeline, documents whose score is lower go, and those without a letter. A score is 0 without a hit and 0.5 or
+#: more otherwise, so this rejects only texts without letters or hits.
 LEAST_SCORE = 0.5
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learnt language with score ``least`` or more, with all columns."""
+    """The rows of ``docs`` whose text has letters and score ``least`` or more, with all columns."""
     model = train(docs.where(learnable()))
     schema = docs.schema
     at = docs.columns.index(text_col)
