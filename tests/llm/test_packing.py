@@ -14,7 +14,6 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -45,7 +44,7 @@ def test_ids_are_the_librarys(library):
     rnd = random.Random(4)
     docs += ["".join(rnd.choices("ab 1Zé.,'s\n\t中", k=80)) for _ in range(300)]
     e = bpe.encoding_for(RANKS)
-    assert all([*bpe.ids_of(bpe.encode_bytes(e, t)), 0] == library(t) for t in docs)
+    assert all([*bpe.ids_of(packing.encode_bytes(e, t)), 0] == library(t) for t in docs)
 
 
 def test_best_fit_against_plain_search():
@@ -85,7 +84,7 @@ def test_documents(spark, library):
 def test_rounds_over_many_partitions(spark, monkeypatch, task_rows):
     monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
     lengths = spark.range(3000).selectExpr("id", "1 + pmod(xxhash64(id), 90) AS length").repartition(24)
-    rows = packing.pack(lengths, 100, 0).collect()
+    rows = packing.pack(lengths, 100).collect()
     assert sorted(r.id for r in rows) == list(range(3000))
     seqs = {}
     for r in rows:
@@ -109,3 +108,13 @@ def test_added_tokens_are_the_librarys(spark):
     docs = list(enumerate(texts))
     rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), RANKS).collect()
     check(rows, docs, own)
+
+
+def test_only_bins_without_use_are_emitted_before_the_end(spark, monkeypatch):
+    """Against one best-fit over all pieces: rounds cost less than a bin for each partition at the start, ties or not."""
+    monkeypatch.setattr(packing, "TASK_ROWS", 400)
+    for expr in ("1 + pmod(xxhash64(id), 100)", "IF(id % 3 = 0, 99, 51)", "7", "IF(id < 20, 1, 60)", "100"):
+        lengths = spark.range(1600).selectExpr("id", f"CAST({expr} AS BIGINT) AS length").repartition(16)
+        rows = packing.pack(lengths, 100).collect()
+        best, _ = packing.best_fit(np.array([r.length for r in rows]), 100)
+        assert len(rows) == 1600 and len({r.sequence_id for r in rows}) <= best.max() + 1 + 16, expr

@@ -2,17 +2,20 @@
 
 Documents become pieces: the ids of the text, then id 0; only what is longer than a sequence is cut, so that all but
 the first piece fill a sequence. Pieces that fill one are done. The others are packed best-fit, longest first, within
-each partition of the table of pieces, without a shuffle. Bins that are full but for ``SLACK`` tokens are emitted; the
-underfull ones go up as items to a smaller number of partitions and are packed best-fit again, until one partition is
-left or a round no longer helps. A partition never holds more than about ``TASK_ROWS`` pieces beyond the first round,
-whatever the input, and no round sees what an earlier one has emitted.
+each partition of the table of pieces, without a shuffle. Bins that have no room for even the least filled of all bins
+are emitted, as no later round could use them; the underfull ones go up as items to a smaller number of partitions and are
+packed best-fit again, until one partition is left or a round saves no bin. A partition never holds more than about
+``TASK_ROWS`` pieces beyond the first round, whatever the input, and no round sees what an earlier one has emitted. Since
+best-fit leaves each partition one bin at most that is filled by half or less, and no two fuller ones can be joined, an end
+with several partitions leaves no more joins than partitions: one in ``TASK_ROWS`` pieces.
 
 The ids are those of the ``tokenizers`` library for ``byte_bpe_50k.json``. They are made from the rank file of the same
 vocabulary through ``bpe``, about eight times as fast; the tests hold both against each other. The text of an added
 token (``ADDED``) is that token, as the library has it by default, and parts the text on both sides.
 
-Defined results: null text counts as empty, and an empty text is one piece of one token; repeated rows, and rows that
-share an id or have none, each have their own pieces; other columns of the input are ignored.
+Defined results: null text counts as empty, and an empty text is one piece of one token; a very long text is as many
+pieces as it fills; of pieces of one length any may come first; repeated rows, and rows that share an id or have none,
+each have their own pieces; an empty table gives an empty one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +40,8 @@ LIMIT = 2048
 #: Added tokens of ``byte_bpe_50k.json`` and their ids; the rank file has none.
 ADDED = {"<|endoftext|>": 50256}
 _ADDED = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
-#: Free tokens up to which a bin is emitted at once.
-SLACK = 4
-#: Pieces that a task of a later round gets, on average; bins that must go in a round for another to follow.
-TASK_ROWS, GAIN = 500_000, 0.002
+#: Pieces that a task of a later round gets, on average.
+TASK_ROWS = 500_000
 
 
 def cut_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -136,20 +137,24 @@ def _round(df: DataFrame, level: int, limit: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``pieces`` (at least a ``length`` column, each of 1 to ``limit``) with sequence_id and offset."""
-    todo, bins, level = materialise(pieces, "pieces"), None, 0
+    todo, before, level = materialise(pieces, "pieces"), None, 0
     done: list[DataFrame] = []
     while True:
         packed = materialise(_round(todo, level, limit), "packed")
-        is_open = F.col("fill") < limit - slack
-        counts = (F.count("*"), F.countDistinct("bin"), F.countDistinct(F.shiftright("bin", 28)))
-        rows, now, partitions = packed.where(is_open).agg(*counts).first()
-        if now < 2 or partitions < 2 or (bins is not None and now > (1 - GAIN) * bins):
+        task = F.shiftright("bin", 28)
+        # a row for each fill, ``limit`` at most
+        fills = packed.groupBy("fill").agg(F.count("*").alias("rows"), F.countDistinct("bin").alias("bins"), F.min(task).alias("lo"), F.max(task).alias("hi")).collect()
+        most = limit - min((r["fill"] for r in fills), default=limit)
+        left = [r for r in fills if r["fill"] <= most]
+        bins, now = sum(r["bins"] for r in fills), sum(r["bins"] for r in left)
+        if now < 2 or min(r["lo"] for r in left) == max(r["hi"] for r in left) or bins == before:
             done.append(packed)
             break
+        is_open = F.col("fill") <= most
         done.append(packed.where(~is_open))
-        todo, bins, level = packed.where(is_open).repartition(-(-rows // TASK_ROWS), "bin"), now, level + 1
+        todo, before, level = packed.where(is_open).repartition(-(-sum(r["rows"] for r in left) // TASK_ROWS), "bin"), now, level + 1
     out = done[0]
     for df in done[1:]:
         out = out.union(df)
