@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,10 +33,41 @@ def test_long_texts_in_blocks_count_as_whole(monkeypatch):
     model, _ = exact_model(SAMPLES)
     text = "the thing is that nicht schön que las ción " * 40
     whole = model.counts([text])
-    monkeypatch.setattr(langid, "BLOCK", 64)
-    parts = model.counts([text])
-    assert abs(whole[0] - parts[0]).max() <= 0.1 * whole[0].max()
-    assert model.predict([text])[0] == langid.LanguageModel(model.languages, model.table, model.false).predict([text])[0]
+    texts = [text, "x", None, "", "12", "Ab" * 100, "ΑΣ ΣΑΣ " * 30, "İstanbul ẞ" * 20, " " * 300, "a\ud800b" * 50]
+    whole = model.counts(texts)
+    for block in (1, 2, 3, 5, 32, 64, 240):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for a, b in zip(whole, model.counts(texts)):
+            assert (a == b).all(), block
+
+
+def brute_grams(text):
+    """N-grams by definition: windows whose inner characters are letters; others are gaps, at either end only."""
+    x = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    return Counter(x[i : i + n] for n in langid.LENGTHS for i in range(len(x) - n + 1) if "\0" not in x[i + 1 : i + n - 1])
+
+
+def test_learnt_ngrams_match_brute_force(spark, monkeypatch):
+    rows = [(i, t, k) for k, v in SAMPLES.items() for i, t in enumerate(v[0].split())] + [(9, "the " * 500 + "end", "en"), (10, None, "en"), (11, "12 !", "de"), (12, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    code = lambda g: int(langid.gram_keys(np.array([0 if c == "\0" else ord(c) for c in g], dtype=np.uint32))[0].view(np.int64)[-1])
+    for block in (langid.BLOCK, 7):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for keep in (4, None):
+            built = {}
+            monkeypatch.setattr(langid.LanguageModel, "build", classmethod(lambda cls, grams, names: built.update(grams) or (names, grams)))
+            names, _ = langid.train(docs, keep=keep)
+            assert names[0] == "en"
+            for k in SAMPLES:
+                want = sum((brute_grams(t) for _, t, own in rows if own == k and t), Counter())
+                best = sorted(want, key=lambda g: (-want[g], code(g)))[:keep]
+                assert sorted(map(code, best)) == sorted(built[k].view(np.int64).tolist()), (block, keep, k)
+
+
+def test_share_tells_texts_of_no_learnt_language():
+    model, _ = exact_model({**SAMPLES, "en": ["the thing is that you of and with a man in his house near the river said to them"]})
+    names, scores, shares = model.judge(["the man is in his house", "これは日本語のテキストです", "zupełnie inny język którego", None])
+    assert names[0] == "en" and shares[0] > 0.9 and max(shares[1:]) < langid.LEAST_SHARE and (names[3], shares[3]) == ("und", 0.0)
 
 
 def test_more_languages_than_bits_of_a_word():
