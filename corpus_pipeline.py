@@ -12,7 +12,7 @@ from trawlnet.plans.tables import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but for those without letters or without any n-gram of a learnt language."""
+    """Documents but for those without letters and those of whose n-grams no learnt language holds half."""
     return langid.keep_identified(docs)
 
 
