@@ -35,11 +35,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it. The files go when the session ends."""
+    """Write ``df`` to the shared folder and return a frame that reads it. The files go when the session ends, or by
+    ``discard``."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that ``materialise`` returned and that nothing reads any more, such as those of the
+    round before the last one; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def materialise_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
