@@ -5,7 +5,9 @@ from __future__ import annotations
 import gzip
 import re
 import zlib
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,21 +60,43 @@ def decode_all(raw: bytes) -> list[int]:
     return out
 
 
-def compress_postings(postings: list[tuple[int, int]]) -> bytes:
+def encode_all(values: np.ndarray) -> bytes:
+    """The codes of an array of positive integers, one after the other."""
+    v = np.asarray(values, dtype=np.uint64) - np.uint64(1)
+    digits, kept = [], [np.ones(len(v), dtype=bool)]
+    while True:
+        more = v >= 128
+        digits.append(np.where(more, v % np.uint64(128) + np.uint64(128), v).astype(np.uint8))
+        if not more.any():
+            break
+        kept.append(kept[-1] & more)
+        v = np.where(more, v // np.uint64(128) - np.uint64(1), np.uint64(0))
+    return np.stack(digits, axis=1)[np.stack(kept, axis=1)].tobytes()
+
+
+def decode_array(raw: bytes) -> np.ndarray:
+    """``decode_all`` as an array; what an unfinished code at the end holds is left out."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    ends = np.flatnonzero(b < 128)
+    if not len(ends):
+        return np.empty(0, dtype=np.uint64)
+    b = b[: ends[-1] + 1].astype(np.uint64)
+    starts = np.append(0, ends[:-1] + 1)
+    place = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat(np.where(b >= 128, b - np.uint64(127), b + np.uint64(1)) << (np.uint64(7) * place.astype(np.uint64)), starts)
+
+
+def compress_postings(postings: Sequence[tuple[int, int]]) -> bytes:
     """FN-VB3: each document's distance from the one before and its frequency, coded."""
-    out, last = [], 0
-    for doc, freq in postings:
-        out += [encode(doc - last), encode(freq)]
-        last = doc
-    return b"".join(out)
+    rows = np.array(postings, dtype=np.int64).reshape(-1, 2)
+    rows[1:, 0] -= rows[:-1, 0].copy()
+    return encode_all(rows.ravel())
 
 
 def decompress_postings(raw: bytes) -> list[tuple[int, int]]:
-    numbers, doc, out = decode_all(raw), 0, []
-    for gap, freq in zip(numbers[::2], numbers[1::2]):
-        doc += gap
-        out.append((doc, freq))
-    return out
+    rows = decode_array(raw).astype(np.int64)
+    rows = rows[: len(rows) // 2 * 2].reshape(-1, 2)
+    return list(zip(np.cumsum(rows[:, 0]).tolist(), rows[:, 1].tolist()))
 
 
 def parse_robots(text: str) -> list[tuple[str, bool]]:
@@ -136,7 +160,7 @@ def robots_of(text: Column) -> Column:
 def vbyte_encoded(numbers: Column) -> Column:
     @F.pandas_udf("binary")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda xs: b"".join(encode(int(x)) for x in xs))
+        return s.map(lambda xs: encode_all(np.asarray(xs)))
 
     return f(numbers)
 
@@ -144,7 +168,7 @@ def vbyte_encoded(numbers: Column) -> Column:
 def vbyte_decoded(raw: Column) -> Column:
     @F.pandas_udf("array<bigint>")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(decode_all)
+        return s.map(lambda raw: decode_array(raw).astype(np.int64))
 
     return f(raw)
 
