@@ -1,9 +1,11 @@
 """Link graph and PageRank over edge tables.
 
-Edges with their source's out-degree are the large table. They are shuffled once, into a table bucketed by source; each
-iteration joins it to the ranks, which alone are shuffled, sums votes with map-side combine, and joins the sums onto
-all nodes. Each iteration's ranks are written to the shared folder with their change, which cuts lineage, survives lost
-executors and makes the residual a sum over that table.
+Edges with their source's out-degree are the large table. They are shuffled once, into a table bucketed by source, and
+ranks are in as many buckets of their node; so an iteration joins the two, and the new ranks to the old, without a
+shuffle, and only votes move, summed before they do. A source with more than ``HUB`` links is cut into parts of that many,
+each joined to its own copy of the source's rank, so that no bucket holds all links of a hub. Each iteration's ranks are written
+to the shared folder with their change, which cuts lineage, survives lost executors and makes the residual a sum over
+that table; the ranks before the last are deleted.
 """
 
 from __future__ import annotations
@@ -11,10 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.plans.shared import materialise, materialise_bucketed
+from trawlnet.functions.html import links_of
+from trawlnet.functions.urls import fingerprint, normalize_url
+from trawlnet.operators.pages import resolved_links
+from trawlnet.plans.shared import discard, materialise, materialise_bucketed
 
-#: Edges of a bucket, on average.
-BUCKET_ROWS = 20_000_000
+#: Edges of a bucket, on average; links of a source beyond which it is cut into parts.
+BUCKET_ROWS, HUB = 20_000_000, 1_000_000
+
+
+def page_edges(pages: DataFrame, schemes: tuple[str, ...] = ("http",)) -> DataFrame:
+    """GR1: src, dst: distinct fingerprints of pages (url, html) and of their links' targets, resolved against a page's
+    base or URL and stripped. Links and pages that are no valid URLs of ``schemes`` have no edge."""
+    parsed = pages.select(normalize_url(F.col("url"), schemes).alias("url"), links_of(F.col("html")).alias("p")).where("url IS NOT NULL")
+    found = resolved_links(parsed.select("url", "p.base", "p.links"), schemes)
+    return found.select(fingerprint(F.col("url")).alias("src"), fingerprint(F.col("target")).alias("dst")).distinct()
+
+
+def documents_of(listed: DataFrame, schemes: tuple[str, ...] = ("http",)) -> DataFrame:
+    """JN10: fp, doc_id of the valid URLs of a list (doc_id, url); of documents with one URL the last counts."""
+    named = listed.select("doc_id", normalize_url(F.col("url"), schemes).alias("url")).where("url IS NOT NULL")
+    return named.groupBy(fingerprint(F.col("url")).alias("fp")).agg(F.max("doc_id").alias("doc_id"))
+
+
+def edges_by_document(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """GR2, JN10: src, dst: distinct pairs of documents (fp, doc_id) that fingerprint edges link; others go."""
+    by = lambda end: documents.select(F.col("fp").alias(end), F.col("doc_id").alias(f"{end}_id"))
+    out = edges.join(by("src"), "src").join(by("dst"), "dst")
+    return out.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct()
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,18 +83,43 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
         lone = materialise(dangling(nodes, edges), "dangling")
         nodes = materialise(nodes.join(lone, "id", "left_anti"), "nodes")
     edges = materialise(valid_edges(edges, nodes), "edges")
-    shares = edges.join(out_degrees(edges), "src")
+    degrees = materialise(out_degrees(edges), "degrees")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET_ROWS))
+    hubs = degrees.where(F.col("n") > HUB).select(F.col("src").alias("id"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
+    hubs = hubs if not hubs.isEmpty() else None
+    shares = edges.join(degrees, "src")
+    if hubs is not None:
+        parts = F.ceil(F.col("n") / HUB).cast("int")
+        shares = shares.withColumn("part", F.when(F.col("n") > HUB, F.pmod(F.xxhash64("dst"), parts)).cast("int"))
+        hub_shares = materialise(shares.where("part IS NOT NULL"), "hubs")
+        shares = shares.where("part IS NULL").drop("part")
     shares = materialise_bucketed(shares, "shares", "src", buckets)
-    ranks = nodes.withColumn("rank", F.lit(1.0))
+    ranks, before = materialise_bucketed(nodes.withColumn("rank", F.lit(1.0)), "ranks", "id", buckets), None
     for _ in range(max_iter):
-        ranks = materialise(pagerank_step(shares, ranks, damping), "ranks")
+        if hubs is None:
+            new = pagerank_step(shares, ranks, damping)
+        else:
+            copies = ranks.join(hubs, "id").select(F.col("id").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            new = _hub_step(shares, hub_shares, copies, ranks, damping)
+        discard(before)
+        before, ranks = ranks, materialise_bucketed(new, "ranks", "id", buckets, deal=False)
         if (ranks.agg(F.sum("off")).first()[0] or 0.0) <= tol:
             break
+    discard(before, edges, degrees)
     out = ranks.select("id", "rank")
     return out.union(lone.select("id", F.lit(1 - damping))) if lone is not None else out
 
 
+def _hub_step(shares: DataFrame, hub_shares: DataFrame, copies: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
+    """``pagerank_step`` with the links of hubs (src, dst, n, part) joined to the copies of their ranks by part."""
+    vote = (F.col("rank") / F.col("n")).alias("vote")
+    usual = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").select("dst", vote)
+    votes = usual.union(hub_shares.join(copies, ["src", "part"]).select("dst", vote)).groupBy("dst").agg(F.sum("vote").alias("_v"))
+    new = F.lit(1 - damping) + damping * F.coalesce("_v", F.lit(0.0))
+    joined = ranks.select("id", F.col("rank").alias("_old")).join(votes.withColumnRenamed("dst", "id"), "id", "left")
+    return joined.select("id", new.alias("rank"), F.abs(new - F.col("_old")).alias("off"))
+
+
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, k: int, damping: float = 0.85) -> list[DataFrame]:
     """The ranks before and after each of ``k`` iterations."""
     edges = materialise(edges, "edges")

@@ -45,20 +45,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialise_bucketed(df: DataFrame, tag: str, key: str, buckets: int, deal: bool = True) -> DataFrame:
+    """As ``materialise``, in ``buckets`` hash buckets of ``key``. The table's name is temporary. Without ``deal``, rows
+    are written from where they are, which is right for what a shuffle by ``key`` into ``buckets`` has just dealt."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows = df.repartition(buckets, key) if deal else df
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stored_at, out._stored_as = path, name
+    return out
+
+
 def discard(*frames: DataFrame | None) -> None:
-    """Delete the files of frames that ``materialise`` returned and that nothing reads any more, such as those of the
-    round before the last one; other frames are left alone."""
+    """Delete the tables and files of frames that the functions above returned and that nothing reads any more, such as
+    those of the round before the last one; other frames are left alone."""
     for df in frames:
         path = getattr(df, "_stored_at", None)
         if path:
+            if name := getattr(df, "_stored_as", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def materialise_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
-    """As ``materialise``, in ``buckets`` hash buckets of ``key``, one file each. The table's name is temporary."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    name = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
