@@ -9,6 +9,8 @@ term that is in most documents is many tasks' work; its coded list is a row for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from trawlnet.plans.spread import spread
 
 #: Document ids, or places in a list, of one block.
 BLOCK = 1 << 20
-#: Postings of one coded list, at most.
-LIST_ROWS = 1 << 16
+#: Postings of one coded list, at most; bytes of a row group of a stored index.
+LIST_ROWS, ROW_GROUP_BYTES = 1 << 16, 16 << 20
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,18 +87,23 @@ def ungap(gapped: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select(*gapped.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("doc_id"))
 
 
-def coded_lists(postings: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
-    """SNK6, FN-VB3: term, block, n, data: lists in the byte-wise code, one for each ``rows`` document ids. Ids are
-    coded by their distance within the block, from 1 up, as the code has no zero."""
+def coded_lists(postings: DataFrame, rows: int = LIST_ROWS, encode: Callable[[Column], Column] = postings_coded) -> DataFrame:
+    """SNK6, FN-VB3, UX4: term, block, n, data: lists in the byte-wise code, or that of ``encode`` (of an array of doc_id,
+    freq), one for each ``rows`` document ids. Ids are counted within the block, from 1 up, as the code has no zero."""
     cut = F.floor(F.col("doc_id") / rows).alias("block")
     within = F.struct((F.col("doc_id") % rows + 1).alias("doc_id"), F.col("freq").cast("long").alias("freq"))
     lists = postings.groupBy("term", cut).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(within)).alias("_list"))
-    return lists.select("term", "block", "n", postings_coded(F.col("_list")).alias("data"))
+    return lists.select("term", "block", "n", encode(F.col("_list")).alias("data"))
+
+
+def plain_postings(postings: Column) -> Column:
+    """UX4: the encoding that leaves lists as they are (SNK5)."""
+    return postings
 
 
-def decoded_lists(coded: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+def decoded_lists(coded: DataFrame, rows: int = LIST_ROWS, decode: Callable[[Column], Column] = postings_decoded) -> DataFrame:
     """Postings (term, doc_id, freq) of ``coded_lists``."""
-    each = coded.select("term", "block", F.explode(postings_decoded(F.col("data"))).alias("p"))
+    each = coded.select("term", "block", F.explode(decode(F.col("data"))).alias("p"))
     return each.select("term", (F.col("block") * rows + F.col("p.doc_id") - 1).alias("doc_id"), F.col("p.freq").alias("freq"))
 
 
@@ -133,17 +140,31 @@ class Index:
         self.n_docs = docs.count()
         self.postings = materialise(term_frequencies(docs, id_col, text_col), "postings")
         self.frequencies = materialise(document_frequencies(self.postings), "frequencies")
-        self.norms = document_norms(self.postings, self.n_docs, self.frequencies)
+        self._norms: DataFrame | None = None
+
+    @property
+    def norms(self) -> DataFrame:
+        """Written when they are first asked for, as boolean queries need none."""
+        if self._norms is None:
+            self._norms = materialise(document_norms(self.postings, self.n_docs, self.frequencies), "norms")
+        return self._norms
 
 
 def write_index(postings: DataFrame, path: str, n_docs: int) -> None:
-    """SNK4-SNK6: vocabulary, coded lists and norms as tables under ``path``."""
+    """SNK4-SNK6: vocabulary, coded lists and norms as tables under ``path``, in ranges of terms and of documents, so that
+    a filter on them skips all files and row groups but a few."""
+    spark = postings.sparkSession
     postings = materialise(postings.select("term", "doc_id", "freq"), "postings")
     frequencies = materialise(document_frequencies(postings), "frequencies")
-    vocabulary(frequencies).join(frequencies, "term").write.parquet(f"{path}/vocabulary")
-    coded_lists(postings).write.parquet(f"{path}/lists")
-    document_norms(postings, n_docs, frequencies).write.parquet(f"{path}/norms")
-    postings.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")).write.parquet(f"{path}/total")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def save(df: DataFrame, name: str, *keys: str) -> None:
+        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/{name}")
+
+    save(vocabulary(frequencies).join(frequencies, "term"), "vocabulary", "term")
+    save(materialise(coded_lists(postings), "lists"), "lists", "term", "block")
+    save(document_norms(postings, n_docs, frequencies), "norms", "doc_id")
+    spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")).write.parquet(f"{path}/total")
 
 
 class StoredIndex:

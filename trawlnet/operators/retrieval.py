@@ -82,6 +82,12 @@ def combine(results: DataFrame, ranks: DataFrame, weight: float = 0.6) -> DataFr
     return rows.join(F.broadcast(top)).select("doc_id", "pagerank", "similarity", score.alias("score"))
 
 
+def ranked(results: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:
+    """SO4: results by falling ``score``, ties by document; the first ``k``, if given."""
+    out = results.orderBy(F.desc(score), "doc_id")
+    return out.limit(k) if k is not None else out
+
+
 def with_metadata(results: DataFrame, meta: DataFrame) -> DataFrame:
     """RT4, JN6: results with url and title, empty where unknown."""
     out = results.join(meta.select("doc_id", "url", "title"), "doc_id", "left")

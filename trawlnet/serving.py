@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from trawlnet.functions.urls import decode_query
 from trawlnet.operators.index import Index, StoredIndex
 from trawlnet.operators.pages import render_results
-from trawlnet.operators.retrieval import cached_page, combine, vector_query, with_metadata
+from trawlnet.operators.retrieval import cached_page, combine, ranked, vector_query, with_metadata
 
 PORT, TOP = 8090, 100
 
@@ -52,7 +52,7 @@ class Search:
         """doc_id, score, url, title of the best."""
         found = vector_query(self.index, query, None if self.ranks is not None else self.top, strict=False)
         if self.ranks is not None:
-            found = combine(found, self.ranks).orderBy(F.desc("score"), "doc_id").limit(self.top)
+            found = ranked(combine(found, self.ranks), k=self.top)
         else:
             found = found.withColumnRenamed("weight", "score")
         return with_metadata(found.select("doc_id", "score"), self.meta)
