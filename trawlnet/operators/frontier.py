@@ -63,6 +63,25 @@ def minute_rates(log: DataFrame, ts: str = "ts") -> DataFrame:
     return log.groupBy(F.date_trunc("minute", ts).alias("minute")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def counter_samples(log: DataFrame, seconds: int = 10, ts: str = "ts") -> DataFrame:
+    """ST10, T13: by spans of ``seconds`` in which the log (ts, status ``SEEN``, ``CRAW``, ``DOWN``) has rows: pages seen,
+    crawled and downloaded in the span, and up to its end. A day has few spans, whose running sums are one window."""
+    n = lambda *names: F.count_if(F.col("status").isin(*names))
+    spans = log.groupBy(F.window(ts, f"{seconds} seconds")["start"].alias("span")).agg(F.count("*").alias("seen"), n("CRAW", "DOWN").alias("crawled"), n("DOWN").alias("downloaded"))
+    so_far = Window.partitionBy(F.to_date("span")).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    days = spans.groupBy(F.to_date("span").alias("_day")).agg(*[F.sum(c).alias(f"_{c}") for c in ("seen", "crawled", "downloaded")])
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    earlier = days.select("_day", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("seen", "crawled", "downloaded")])
+    joined = spans.withColumn("_day", F.to_date("span")).join(F.broadcast(earlier), "_day")
+    totals = [(F.sum(c).over(so_far) + F.col(f"_{c}")).alias(f"total_{c}") for c in ("seen", "crawled", "downloaded")]
+    return joined.select("span", "seen", "crawled", "downloaded", *totals)
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """SNK10: lines of a log (ts, status, doc_id, url): seconds since 1970, status, id and URL with blanks between."""
+    return log.select(F.concat_ws(" ", F.unix_timestamp(F.col("ts").cast("timestamp")), "status", "doc_id", "url").alias("value"))
+
+
 def counter_deltas(samples: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """WN5: the change of a counter from one sample of a key to the next."""
     w = Window.partitionBy(key).orderBy(order)

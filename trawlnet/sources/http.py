@@ -5,17 +5,34 @@ from __future__ import annotations
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "url string, status int, content_type string, content binary"
+from trawlnet.sources.store import visit_store
+
+SCHEMA = "url string, status int, content_type string, content binary, truncated boolean"
 AGENT, TIMEOUT_S, MAX_BYTES = "trawlnet/0.1", 60, 16 << 20
 
 
 def fetch(url: str) -> tuple[int, str, bytes]:
-    """Status, content type and body of a GET; redirects are followed."""
+    """Status, content type and body of a GET, one byte more than ``MAX_BYTES`` at most; redirects are followed."""
     request = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept": "text/html,application/xhtml+xml,application/xml"})
     with urllib.request.urlopen(request, timeout=TIMEOUT_S) as r:
-        return r.status, r.headers.get("content-type", ""), r.read(MAX_BYTES)
+        return r.status, r.headers.get("content-type", ""), r.read(MAX_BYTES + 1)
+
+
+def answer(url: str, get: Callable = fetch) -> tuple:
+    """A row of ``SCHEMA``: bodies are cut at ``MAX_BYTES``, which ``truncated`` tells; failures have status 0."""
+    try:
+        status, kind, body = get(url)
+    except (OSError, ValueError):
+        return url, 0, None, None, False
+    return url, status, kind, None if body is None else body[:MAX_BYTES], body is not None and len(body) > MAX_BYTES
+
+
+def fetched(requests: DataFrame, get: Callable = fetch) -> DataFrame:
+    """Rows of ``SCHEMA`` for a column url of any length: the fetching half of the crawl, in the tasks that hold the rows."""
+    return visit_store(requests.select("url"), lambda rows: (answer(r["url"], get) for r in rows), SCHEMA)
 
 
 class _Urls(InputPartition):
@@ -31,12 +48,7 @@ class _Reader(DataSourceReader):
         return [_Urls(self._urls[i : i + self._per_task]) for i in range(0, len(self._urls), self._per_task)] or [_Urls(())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for url in partition.urls:
-            try:
-                status, kind, body = self._get(url)
-            except (OSError, ValueError):
-                status, kind, body = 0, None, None
-            yield url, status, kind, body
+        return (answer(url, self._get) for url in partition.urls)
 
 
 class HttpSource(DataSource):
