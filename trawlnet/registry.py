@@ -14,6 +14,7 @@ from trawlnet.operators import index as ix
 from trawlnet.operators import retrieval as rt
 from trawlnet.plans.shared import new_path
 from trawlnet.plans.tables import table
+from trawlnet.sources.store import build_store, page_metadata, read_store, scan_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,7 +208,7 @@ def combined_query(spark, d):
     + " SELECT doc_id, round(weight, 6) AS weight, coalesce(url, '') AS url, coalesce(title, '') AS title FROM hits LEFT JOIN meta USING (doc_id)"
 )
 def results_with_meta(spark, d):
-    meta = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"))
+    meta = page_metadata(table(spark, d, "pages").withColumnRenamed("page_id", "doc_id"))
     return rt.with_metadata(rt.vector_query(_index(spark, d), "the thin"), meta).withColumn("weight", F.round("weight", 6))
 
 
@@ -282,13 +283,14 @@ def docid_path(spark, d):
 
 @query("SELECT count(*) AS docs, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages")
 def store_scan_stats(spark, d):
-    return table(spark, d, "pages").agg(F.count("*").alias("docs"), F.sum(F.octet_length("html")).alias("bytes"))
+    whole = scan_statistics(read_store(spark, f"{d}/pages.parquet"), id_col="page_id")
+    return whole.agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT p.page_id, p.url, octet_length(encode(html)) AS size FROM pages p SEMI JOIN documents d ON p.page_id = d.doc_id WHERE length(html) > 0")
 def store_build(spark, d):
-    listed = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"))
-    return table(spark, d, "pages").where(F.length("html") > 0).join(listed, "page_id", "left_semi").select("page_id", "url", F.octet_length("html").cast("long").alias("size"))
+    pages = table(spark, d, "pages").withColumnRenamed("page_id", "doc_id")
+    return build_store(pages, table(spark, d, "documents")).select(F.col("doc_id").alias("page_id"), "url", F.octet_length("html").cast("long").alias("size"))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +328,7 @@ def out_degree_distribution(spark, d):
 @query(_steps(3) + " SELECT id, round(rank, 6) AS rank FROM r3")
 def pagerank_k3(spark, d):
     nodes, edges = _graph(spark, d)
-    return gr.pagerank_steps(nodes, gr.valid_edges(edges, nodes), 3)[-1].withColumn("rank", F.round("rank", 6))
+    return gr.pagerank(nodes, edges, tol=-1.0, max_iter=3).withColumn("rank", F.round("rank", 6))
 
 
 @query(_steps(2) + " SELECT round(sum(abs(a.rank - coalesce(b.rank, 0))), 6) AS l1 FROM r1 a LEFT JOIN r2 b USING (id)")
@@ -384,4 +386,4 @@ def charset_from_content_type(spark, d):
     return _types(spark).select("id", T.charset_of(F.col("ct")).alias("charset"))
 
 
-from trawlnet import registry_pages  # noqa: E402, F401  (registers the queries over HTML, URLs and bytes)
+from trawlnet import registry_pages, registry_rules  # noqa: E402, F401  (register the queries over HTML, URLs and bytes, and rule by rule)

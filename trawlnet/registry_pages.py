@@ -51,32 +51,12 @@ def resolved_links(spark, d):
     return rows.select("page_id", "link", U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("target"))
 
 
-@query()
-def all_resolved_links(spark, d):
-    """Every link of every page; a target is null where the page or the link has a scheme other than http."""
-    rows = table(spark, d, "pages").select("page_id", "url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
-    return rows.select("page_id", "link", U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("target"))
-
-
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS normal FROM pages WHERE starts_with(url, 'http://')")
 def normalize_url(spark, d):
     http = table(spark, d, "pages").where(F.col("url").startswith("http://"))
     return http.select("page_id", U.normalize_url(F.regexp_replace("url", "#.*$", "")).alias("normal"))
 
 
-@query()
-def fnv_fingerprints(spark, d):
-    return table(spark, d, "pages").select("page_id", U.fingerprint(F.col("url")).alias("fp"))
-
-
-@query()
-def link_graph(spark, d):
-    """GR1: source and target fingerprints of stripped links, distinct."""
-    rows = spread(table(spark, d, "pages").select("url", "html")).select("url", F.explode(H.links_of(F.col("html"))["links"]).alias("link"))
-    edges = rows.select(U.normalize_url(F.col("url")).alias("src"), U.resolve_url(F.col("url"), F.col("link"), stripped=True).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    return edges.select(U.fingerprint(F.col("src")).alias("src"), U.fingerprint(F.col("dst")).alias("dst")).distinct()
-
-
 @query("SELECT doc_id, text, 'utf-8' AS encoding FROM documents")
 def to_utf8(spark, d):
     return table(spark, d, "documents").select("doc_id", R.utf8_of(F.col("text").cast("binary")).alias("u")).select("doc_id", "u.text", "u.encoding")
