@@ -150,3 +150,48 @@ def test_all_links_are_resolved(spark):
         full = quote(urldefrag(urljoin(pages[r.page_id].url, r.link))[0], safe="/:?&=%,;+")
         http = pages[r.page_id].url.startswith("http://") and full.startswith("http://")
         assert r.target == (full if http else None), r
+
+
+def test_pagerank_with_hubs_cut_in_parts(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = [(a, b) for a in range(30) for b in range(30) if rnd.random() < (0.9 if a < 3 else 0.1)]
+    n, links = spark.range(30), spark.createDataFrame(edges, "src long, dst long")
+    ranks = lambda: {r.id: r.rank for r in gr.pagerank(n, links, tol=-1.0, max_iter=4).collect()}
+    want = ranks()
+    monkeypatch.setattr(gr, "HUB", 5)
+    got = ranks()
+    assert set(got) == set(want) == set(range(30)) and all(math.isclose(got[v], want[v]) for v in want)
+    steps = {r.id: r["rank"] for r in gr.pagerank_steps(n.select("id"), links, 4)[-1].collect()}
+    assert all(math.isclose(steps[v], want[v]) for v in want)
+
+
+def test_pagerank_keeps_its_tables_in_buckets(spark):
+    """An iteration shuffles votes only: neither shares nor ranks are dealt again."""
+    from trawlnet.plans.shared import materialise_bucketed
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shares = materialise_bucketed(spark.range(100).selectExpr("id % 10 AS src", "id AS dst", "10L AS n"), "shares", "src", parts)
+        ranks = materialise_bucketed(spark.range(100).selectExpr("id", "1.0D AS rank"), "ranks", "id", parts)
+        plan = gr.pagerank_step(shares, ranks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(dst" in plan
+
+
+def test_stored_index_is_in_ranges(spark, index, tmp_path):
+    """A filter on a term reaches the scan, and files hold ranges of terms, so all but one can be skipped."""
+    import pyarrow.parquet as pq
+
+    ix.write_index(index.postings, str(tmp_path / "i"), index.n_docs)
+    for name, key in (("lists", "term"), ("vocabulary", "term"), ("norms", "doc_id")):
+        spans = []
+        for f in (tmp_path / "i" / name).glob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            at = [meta.schema.column(i).name for i in range(meta.num_columns)].index(key)
+            spans += [(g.column(at).statistics.min, g.column(at).statistics.max) for g in map(meta.row_group, range(meta.num_row_groups)) if g.num_rows]
+        spans.sort()
+        assert spans and all(a[1] <= b[0] for a, b in zip(spans, spans[1:])), name
+    plan = ix.StoredIndex(spark, str(tmp_path / "i")).postings.where("term = 'hot'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,hot)" in plan

@@ -2,7 +2,9 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from trawlnet.operators import crawl as cr
 from trawlnet.operators import pages as P
+from trawlnet.sources import http
 from trawlnet.sources import store as S
 from trawlnet.sources.http import HttpSource
 from trawlnet.streaming import frontier as fs
@@ -51,6 +53,44 @@ def test_http_source(spark):
     assert sorted((r.url, r.status) for r in out) == [("http://a/", 200), ("http://bad/", 0)]
 
 
+def test_long_bodies_are_cut_and_say_so(spark, monkeypatch):
+    monkeypatch.setattr(http, "MAX_BYTES", 10)
+    for n, cut in ((0, False), (10, False), (11, True)):
+        row = http.answer("http://a/", lambda url: (200, "text/html", b"x" * n))
+        assert row[3:] == (b"x" * min(n, 10), cut)
+    rows = http.fetched(spark.createDataFrame([("http://a/",), ("http://bad/",)], "url string"), FakeSource.get).collect()
+    assert sorted((r.url, r.status, r.truncated) for r in rows) == [("http://a/", 200, False), ("http://bad/", 0, False)]
+
+
+SITE = {
+    "http://a.x/robots.txt": "User-agent: *\nDisallow: /no\n", "http://a.x/": "<title>home</title><a href=/1>1</a><a href=/no/2>2</a><a href='http://b.x/'>b</a><a href=https://s.x/>s</a>",
+    "http://a.x/1": "<a href=/>home</a><a href=/3#top>3</a>", "http://a.x/3": "<meta name=robots content=nofollow><a href=/4>4</a>", "http://b.x/": "<a href='http://c.y/'>c</a><a href='http://a.x/1'>1</a>",
+}
+
+
+def get_page(url):
+    if url not in SITE:
+        raise OSError(url)
+    return 200, "text/plain" if url.endswith(".txt") else "text/html", SITE[url].encode()
+
+
+def test_crawl_rounds(spark, tmp_path):
+    crawl, now, asked = cr.Crawl.of(spark, ["http://a.x/", "http://a.x/"]), 1000, []
+    for _ in range(6):
+        asked.append(sorted(r.url for r in cr.requests(crawl, now).collect()))
+        assert all(r.host in ("a.x", "b.x") for r in cr.requests(crawl, now).collect())
+        crawl = cr.crawl_round(crawl, now, str(tmp_path), get_page, suffix=".x")
+        assert cr.requests(crawl, now + 29).where("host = 'a.x'").count() == 0  # politeness
+        now += 30
+    assert asked == [["http://a.x/robots.txt"], ["http://a.x/"], ["http://a.x/1", "http://b.x/robots.txt"], ["http://a.x/3", "http://b.x/"], [], []]
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    assert sorted(r.url for r in pages.collect()) == sorted(u for u in SITE if not u.endswith(".txt"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 6 and log.where("status = 'DOWN'").count() == 5
+    assert sorted(map(tuple, crawl.frontier.select("host", "path").collect())) == [("a.x", "/no/2")]
+    assert cr.requests(cr.Crawl.of(spark, ["http://a.x/", "http://b.x/1", "http://b.x/2"]), 0, k=1).first().host == "b.x"
+
+
 def test_frontier_steps():
     seen, queue, at, due = fs.step([], [], 0, ["/a", "/b", "/a"], 1000)
     assert due == ("/robots.txt", 3, 1000) and queue == ["/a", "/b"] and at == 31_000
