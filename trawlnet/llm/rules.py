@@ -2,18 +2,23 @@
 
 Every text gets its counts, and from them a vector of ``VECTOR`` transformed statistics. For each language and source a
 minimum-covariance-determinant estimate tells where the bulk of its vectors lies: from two deterministic starts, each
-concentration step keeps the ``SHARE`` of rows with the least distance and takes their mean and covariance, and the
-start with the smaller determinant wins. A row is rejected if its squared Mahalanobis distance exceeds ``CUTOFF`` or a
-base rule fails. Groups with fewer than ``LEAST_ROWS`` rows are judged by the estimate of their language, languages
-with fewer by that of all rows; all three kinds are estimated over all their rows.
+concentration step keeps the ``SHARE`` of rows with the least distance and takes their mean and covariance, until no
+group's determinant changes any more, and the start with the smaller determinant wins. Few rows say little, so the
+estimate is regularised: a group's mean and covariance are averaged with those of its language, as if that were
+``SHRINK`` rows more, and a language's with those of all rows. A row is rejected if its squared Mahalanobis distance
+exceeds ``CUTOFF`` or a base rule fails.
 
 Texts are read once; the steps work on the table of vectors. Every step is a grouped sum or a mergeable quantile, so a
-group of any size is combined before the shuffle, and only estimates (one row a group) are joined back: broadcast
-while there are ``BROADCAST_GROUPS`` of them at most, by a shuffle beyond.
+group of any size is combined before the shuffle; the wider estimates are sums of the groups' sums; and only estimates
+(one row a group) are joined back: broadcast while there are ``BROADCAST_GROUPS`` of them at most, by a shuffle beyond.
+
+Windows of words are compared by hashes; in the few texts with equal ones the words themselves are compared, so two
+windows count as one only if they are.
 
 Defined results: null text counts as empty: no words, base rule failed; null languages and sources are groups of their
-own; a floor keeps covariances regular when a group has no scatter; repeated rows each give a row; other columns of
-the input are ignored.
+own; a floor keeps covariances regular when a group has no scatter, as that of a single row or of ties only; a very long
+text is one row like others; repeated rows each give a row; an empty table gives an empty one; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -23,21 +28,38 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlnet.plans.shared import materialise
+from trawlnet.plans.shared import discard, materialise
 
 #: Words that a window spans; the base rule's bounds.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 VECTOR = ("word_length", "symbols", "distinct", "upper")
-#: Share of rows that a concentration step keeps; steps; accuracy of its quantile.
-SHARE, STEPS, ACCURACY = 0.75, 4, 2000
+#: Share of rows that a concentration step keeps; accuracy of its quantile; rows that the wider estimate counts as.
+SHARE, ACCURACY, SHRINK = 0.75, 2000, 50.0
+#: Change of a log-determinant below which a group counts as settled; steps after which a group that still moves between
+#: sets of rows, as quantiles are approximate, stays where it is.
+SETTLED, STEPS = 1e-3, 40
 #: A prior count that steadies rates of short texts.
 PRIOR = 30.0
 #: Standard deviation below which no direction of a group counts as narrower.
 FLOOR = 0.03
-#: Squared distance beyond which a row is rejected: far beyond a Gaussian's, since vectors of short texts have long tails.
-CUTOFF = 60.0
-#: Rows below which a wider group judges; groups whose estimates are broadcast at most.
-LEAST_ROWS, BROADCAST_GROUPS = 200, 20_000
+#: Bits of a number that hold a window's place, as arrays have no more; the others are of its hash.
+PLACE_BITS = 31
+#: Groups whose estimates are broadcast at most.
+BROADCAST_GROUPS = 20_000
+
+
+def tail_cutoff(d: int, tail: float) -> float:
+    """The squared distance that a share ``tail`` of a Gaussian's rows exceeds, in an even number ``d`` of dimensions."""
+    above = lambda x: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))
+    lo, hi = 0.0, 2000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if above(mid) > tail else (lo, mid)
+    return hi
+
+
+#: Squared distance beyond which a row is rejected: one that no Gaussian row of the largest corpora (10^12 texts) reaches.
+CUTOFF = tail_cutoff(len(VECTOR), 1e-12)
 
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -49,22 +71,57 @@ def _let(value: Column, body) -> Column:
 
 def _repeated(words: Column) -> Column:
     """Words of an array in windows that are in it twice or more."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    one_by_one = F.transform(words, lambda w: F.xxhash64(w))
+
+    def hashes(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
 
-    def places(ordered: Column) -> Column:
-        twice = lambda x, k: (F.get(ordered, k - 1)["h"] == x["h"]) | (F.get(ordered, k + 1)["h"] == x["h"])
-        return F.array_sort(F.transform(F.filter(ordered, lambda x, k: F.coalesce(twice(x, k), F.lit(False))), lambda x: x["i"]))
+    # the first bits of the hash and the place in one number, whose order is that of hashes, then of places
+    head = lambda x: F.shiftrightunsigned(x, PLACE_BITS)
+    pack = lambda x, i: F.shiftleft(head(x), PLACE_BITS).bitwiseOR(i.cast("long"))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    word = lambda x, k: F.get(words, place(x) + k)
 
-    def covered(at: Column) -> Column:
+    def beside(ordered: Column) -> Column:
+        """Those with the hash of the one before or after."""
+        twice = lambda x, k: (head(F.get(ordered, k - 1)) == head(x)) | (head(F.get(ordered, k + 1)) == head(x))
+        return F.filter(ordered, lambda x, k: F.coalesce(twice(x, k), F.lit(False)))
+
+    def differ(found: Column) -> Column:
+        """Whether windows of equal hashes are of different words anywhere."""
+        after = lambda k: F.get(found, k + 1)
+        unlike = lambda x, k: ~_all([word(x, n) == word(after(k), n) for n in range(WINDOW)])
+        off = F.transform(found, lambda x, k: F.coalesce((head(x) == head(after(k))) & unlike(x, k), F.lit(False)))
+        return F.exists(off, lambda x: x)
+
+    def by_words(found: Column) -> Column:
+        """As ``beside``, by the words themselves; a blank is in no word."""
+        spelt = F.array_sort(F.transform(found, lambda x: F.struct(F.array_join(F.slice(words, place(x) + 1, WINDOW), " ").alias("w"), x.alias("x"))))
+
+        def only_twice(s: Column) -> Column:
+            twice = lambda y, k: (F.get(s, k - 1)["w"] == y["w"]) | (F.get(s, k + 1)["w"] == y["w"])
+            return F.transform(F.filter(s, lambda y, k: F.coalesce(twice(y, k), F.lit(False))), lambda y: y["x"])
+
+        return _let(spelt, only_twice)
+
+    def covered(found: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
         add = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last"))
-        return F.aggregate(at, start, add, lambda acc: acc["n"])
+        return F.aggregate(F.sort_array(F.transform(found, place)), start, add, lambda acc: acc["n"])
 
     def count(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(_let(pairs, places), covered))
+        exact = lambda found: covered(F.when(differ(found), by_words(found)).otherwise(found))
+        places = _let(_let(F.sort_array(F.transform(h, pack)), beside), exact)
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(places)
+
+    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_let(_let(one_by_one, hashes), count))
 
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_let(hashes, count))
+
+def _all(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -126,56 +183,88 @@ def _triangle(d: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(d) for j in range(i + 1)]
 
 
-def _estimates(rows: DataFrame, d: int, by: list[str]) -> DataFrame:
-    """``by``, n, m0.., the inverse Cholesky factor w{i}_{j} of the covariance, and logdet, of ``rows``."""
-    sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _triangle(d)]
-    out = materialise(rows.groupBy(*by).agg(F.count("*").alias("n"), *sums), "moments")
-    factor = consistency(SHARE, d)
-    for i, j in _triangle(d):
-        c = factor * (F.col(f"p{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit(FLOOR**2 if i == j else 0.0)
-        for k in range(j):
-            c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}_{j}"))
-    for j in range(d):
-        for i in range(j, d):
-            if i == j:
-                w = 1 / F.col(f"l{j}_{j}")
-            else:
-                w = -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}")
-            out = out.withColumn(f"w{i}_{j}", w)
-    logdet = 2 * sum((F.log(F.col(f"l{i}_{i}")) for i in range(d)), F.lit(0.0))
-    return out.select(*by, "n", *[f"m{i}" for i in range(d)], *[f"w{i}_{j}" for i, j in _triangle(d)], logdet.alias("logdet"))
+# The expressions below are SQL text: each is one call to the JVM, where columns built piece by piece are thousands.
+
+
+def _sums(rows: DataFrame, d: int) -> DataFrame:
+    """g, p, start, n, and the sums s0.. and s0_0.. of the rows (x0.., q0, q1) within the group's cuts (cut0, cut1)."""
+
+    def of(k: int) -> str:
+        near = lambda x: f"sum(CASE WHEN q{k} <= cut{k} THEN {x} END)"
+        own = [f"'s{i}', {near(f'x{i}')}" for i in range(d)] + [f"'s{i}_{j}', {near(f'x{i} * x{j}')}" for i, j in _triangle(d)]
+        return f"named_struct('start', {k}, 'n', {near('1.0D')}, {', '.join(own)})"
 
+    return rows.groupBy("g", "p").agg(F.expr(f"array({of(0)}, {of(1)})").alias("_s")).selectExpr("g", "p", "explode(_s) AS _s").select("g", "p", "_s.*")
 
-def distance(d: int) -> Column:
-    """Squared Mahalanobis distance of x0.. under the columns of ``_estimates``."""
-    away = [F.col(f"x{j}") - F.col(f"m{j}") for j in range(d)]
-    parts = [sum((F.col(f"w{i}_{j}") * away[j] for j in range(i + 1)), F.lit(0.0)) for i in range(d)]
-    return sum((p * p for p in parts), F.lit(0.0))
+
+def _moments(sums: DataFrame, d: int, by: list[str], name: str) -> DataFrame:
+    """``by``, and as ``name`` a struct of n, the mean m0.. and the covariance c0_0.. of the rows that ``sums`` are of."""
+    sums = sums.groupBy(*by).agg(*[F.expr(f"sum({c})").alias(c) for c in sums.columns if c not in ("g", "p", "start")])
+    factor = consistency(SHARE, d)
+    covariance = lambda i, j: f"{factor!r}D * (s{i}_{j} / n - s{i} / n * (s{j} / n)) + {FLOOR**2 if i == j else 0.0!r}D"
+    values = [f"'m{i}', s{i} / n" for i in range(d)] + [f"'c{i}_{j}', {covariance(i, j)}" for i, j in _triangle(d)]
+    return sums.selectExpr(*by, f"named_struct('n', n, {', '.join(values)}) AS {name}")
 
 
-def _with(rows: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    """``small`` joined to ``rows``: broadcast if it holds few groups."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small, by)
+def _estimates(sums: DataFrame, d: int, shrink: float) -> DataFrame:
+    """g, start, m0.., the inverse Cholesky factor w{i}_{j} of the shrunk covariance, and logdet."""
+    names = [f"m{i}" for i in range(d)] + [f"c{i}_{j}" for i, j in _triangle(d)]
 
+    def shrunk(own: str, wide: str) -> str:
+        return ", ".join(f"'{c}', ({own}.n * {own}.{c} + {shrink!r}D * {wide}.{c}) / ({own}.n + {shrink!r}D)" for c in names)
 
-def robust_estimates(rows: DataFrame, d: int, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """``g``, n, and the estimate of each group ``g`` of ``rows`` (x0..), by concentration from two starts."""
+    languages = _moments(sums, d, ["p", "start"], "_l").join(F.broadcast(_moments(sums, d, ["start"], "_a")), "start")  # two rows
+    languages = languages.selectExpr("p", "start", f"named_struct({shrunk('_l', '_a')}) AS _l")
+    out = _moments(sums, d, ["g", "p", "start"], "_g").join(languages, ["p", "start"]).selectExpr("g", "start", f"named_struct({shrunk('_g', '_l')}) AS _e").select("g", "start", "_e.*")
+    # what doesn't depend on each other is made at once: the factor column by column, its inverse by diagonals
+    less = lambda i, j: "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+    for j in range(d):
+        out = out.selectExpr("*", f"sqrt(greatest(c{j}_{j}{less(j, j)}, 1e-9D)) AS l{j}_{j}")
+        if j + 1 < d:
+            out = out.selectExpr("*", *[f"(c{i}_{j}{less(i, j)}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, d)])
+    out = out.selectExpr("*", *[f"1 / l{j}_{j} AS w{j}_{j}" for j in range(d)])
+    for off in range(1, d):
+        out = out.selectExpr("*", *[f"-({' + '.join(f'l{j + off}_{k} * w{k}_{j}' for k in range(j, j + off))}) / l{j + off}_{j + off} AS w{j + off}_{j}" for j in range(d - off)])
+    logdet = " + ".join(f"2 * ln(l{i}_{i})" for i in range(d))
+    return out.selectExpr("g", "start", *[f"m{i}" for i in range(d)], *[f"w{i}_{j}" for i, j in _triangle(d)], f"{logdet} AS logdet")
+
+
+def distance(d: int, of: str = "") -> Column:
+    """Squared Mahalanobis distance of x0.. under the columns of ``_estimates``, or those of the struct ``of``."""
+    at = f"{of}." if of else ""
+    part = lambda i: " + ".join(f"{at}w{i}_{j} * (x{j} - {at}m{j})" for j in range(i + 1))
+    return F.expr(" + ".join(f"power({part(i)}, 2)" for i in range(d)))
+
+
+def robust_estimates(rows: DataFrame, d: int, steps: int = STEPS, share: float = SHARE, shrink: float = SHRINK) -> DataFrame:
+    """``g``, n, and the estimate of each group ``g`` of ``rows`` (g, its language ``p``, x0..), by concentration from
+    two starts; a ``shrink`` of 0 leaves each group to itself."""
+    xs = [f"x{i}" for i in range(d)]
     middle = [F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(ACCURACY)).alias(f"c{i}") for i in range(d)]
     centres = materialise(rows.groupBy("g").agg(F.count("*").alias("size"), *middle), "centres")
-    near = _with(rows, centres, ["g"])
+    few = centres.count() <= BROADCAST_GROUPS
+    with_ = lambda df, small: df.join(F.broadcast(small) if few else small, "g")
+    near = with_(rows, centres)
     spread = [F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(ACCURACY)).alias(f"s{i}") for i in range(d)]
     spreads = materialise(near.groupBy("g").agg(*spread), "spreads")
     z = [F.abs(F.col(f"x{i}") - F.col(f"c{i}")) / (1.4826 * F.col(f"s{i}") + FLOOR) for i in range(d)]
-    starts = F.array(F.struct(F.lit(0).alias("start"), sum((a * a for a in z), F.lit(0.0)).alias("q")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("q")))
-    xs = [f"x{i}" for i in range(d)]
-    now = _with(near, spreads, ["g"]).select("g", *xs, F.explode(starts).alias("_s")).select("g", *xs, "_s.*")
-    both = rows.select("g", *xs).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    now = with_(near, spreads).select("g", "p", *xs, sum((a * a for a in z), F.lit(0.0)).alias("q0"), F.greatest(*z).alias("q1"))
+    found, used = None, []
     for _ in range(steps):
-        cut = materialise(now.groupBy("g", "start").agg(F.percentile_approx("q", F.lit(share), F.lit(ACCURACY)).alias("cut")), "cuts")
-        found = materialise(_estimates(_with(now, cut, ["g", "start"]).where("q <= cut"), d, ["g", "start"]), "estimates")
-        now = _with(both, found, ["g", "start"]).select("g", "start", *xs, distance(d).alias("q"))
-    values = [c for c in found.columns if c not in ("g", "start", "n", "logdet")]
+        cut = [F.percentile_approx(f"q{k}", F.lit(share), F.lit(ACCURACY)).alias(f"cut{k}") for k in (0, 1)]
+        cuts = materialise(now.groupBy("g").agg(*cut), "cuts")
+        sums = materialise(_sums(with_(now, cuts), d), "sums")
+        before, found = found, materialise(_estimates(sums, d, shrink), "estimates")
+        discard(*used)
+        used = [cuts, sums, before]
+        if before is not None:
+            was = before.select("g", "start", F.col("logdet").alias("_was"))
+            if (found.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0] or 0.0) <= SETTLED:
+                break
+        values = F.struct(*[c for c in found.columns if c not in ("g", "start")])
+        both = found.groupBy("g").agg(*[F.max(F.when(F.col("start") == k, values)).alias(f"e{k}") for k in (0, 1)])
+        now = with_(rows, both).select("g", "p", *xs, distance(d, "e0").alias("q0"), distance(d, "e1").alias("q1"))
+    values = [c for c in found.columns if c not in ("g", "start", "logdet")]
     best = found.groupBy("g").agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("_e"))
     return centres.select("g", F.col("size").alias("n")).join(best, "g").select("g", "n", "_e.*")
 
@@ -189,22 +278,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     d = len(VECTOR)
     named = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
     counts = text_counts(named, id_col, text_col, ("_lang", "_source"))
-    levels = [F.concat(F.lit("2|"), _key(F.col("_lang"), F.col("_source"))), F.concat(F.lit("1|"), _key(F.col("_lang"))), F.lit("0")]
-    full = counts.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())], *[x.alias(f"_g{i}") for i, x in enumerate(levels)])
+    full = counts.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())], _key(F.col("_lang"), F.col("_source")).alias("g"), _key(F.col("_lang")).alias("p"))
     full = materialise(full.drop("_lang", "_source", "n_distinct", "n_upper"), "counts")
-    xs = [f"x{i}" for i in range(d)]
-    rows = full.select(*xs, F.explode(F.array("_g0", "_g1", "_g2")).alias("g"))
-    found = materialise(robust_estimates(rows, d), "robust")
-    groups = full.select("_g0", "_g1", "_g2").distinct()
-    values = F.struct(*[c for c in found.columns if c not in ("g", "n")])
-    wide = groups
-    for k in range(3):
-        wide = wide.join(found.select(F.col("g").alias(f"_g{k}"), F.col("n").alias(f"n{k}"), values.alias(f"e{k}")), f"_g{k}")
-    chosen = F.when(F.col("n0") >= LEAST_ROWS, F.col("e0")).when(F.col("n1") >= LEAST_ROWS, F.col("e1")).otherwise(F.col("e2"))
-    wide = materialise(wide.select("_g0", chosen.alias("_e")).select("_g0", "_e.*"), "judges")
+    found = materialise(robust_estimates(full.select("g", "p", *[f"x{i}" for i in range(d)]), d), "robust").drop("n")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = _with(full, wide, ["_g0"]).withColumn("distance2", distance(d)).withColumn("base_failed", failed)
-    return out.select(
+    judged = full.join(F.broadcast(found) if found.count() <= BROADCAST_GROUPS else found, "g")
+    return judged.withColumn("distance2", distance(d)).withColumn("base_failed", failed).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2",
         (~F.col("base_failed") & (F.col("distance2") <= cutoff)).alias("kept"),
     )
