@@ -1,5 +1,7 @@
 import gzip
+import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trawlnet.operators import crawl as cr
@@ -91,18 +93,55 @@ def test_crawl_rounds(spark, tmp_path):
     assert cr.requests(cr.Crawl.of(spark, ["http://a.x/", "http://b.x/1", "http://b.x/2"]), 0, k=1).first().host == "b.x"
 
 
+class FakeState(dict):
+    """The calls of a map, value or timer state that the host's queue makes."""
+
+    exists = lambda self: "v" in self
+    get = lambda self: self["v"]
+    update = lambda self, v: self.__setitem__("v", v)
+    containsKey = dict.__contains__
+    updateValue = dict.__setitem__
+    getValue = dict.__getitem__
+    removeKey = dict.pop
+
+    def __init__(self):
+        self.timers = []
+
+    getMapState = getValueState = lambda self, *a: FakeState()
+    registerTimer = lambda self, at: self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentProcessingTimeInMs = lambda: now
+
+
 def test_frontier_steps():
-    seen, queue, at, due = fs.step([], [], 0, ["/a", "/b", "/a"], 1000)
-    assert due == ("/robots.txt", 3, 1000) and queue == ["/a", "/b"] and at == 31_000
-    assert fs.step(seen, queue, at, ["/a"], 30_999)[3] is None
-    seen, queue, at, due = fs.step(seen, queue, at, [], 31_000)
-    assert due[0] == "/a" and queue == ["/b"] and at == 61_000
+    host, handle = fs.HostQueue(), FakeState()
+    host.init(handle)
+    rows = lambda *paths: iter([Row(host="h", path=p) for p in paths])
+    assert [tuple(r) for r in host.handleInputRows(("h",), rows("/a", "/b", "/a"), Clock(1000))] == [("h", "/robots.txt", 3, 1000)]
+    assert handle.timers == [31_000]
+    assert list(host.handleInputRows(("h",), rows("/a", "/robots.txt"), Clock(30_999))) == []
+    assert [r.path for r in host.handleExpiredTimer(("h",), Clock(31_000), None)] == ["/a"]
+    assert [r.path for r in host.handleInputRows(("h",), rows("/c"), Clock(61_000))] == ["/b"]
+    assert [(r.path, r.queue_len) for r in host.handleExpiredTimer(("h",), Clock(91_000), None)] == [("/c", 1)]
+    assert list(host.handleExpiredTimer(("h",), Clock(121_000), None)) == [] and handle.timers[-1] == 91_000
 
 
 def test_frontier_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("a", "/1"), ("a", "/2"), ("b", "/1")], "host string, path string").coalesce(1).write.parquet(str(tmp_path / "in/1"))
-    stream = spark.readStream.schema("host string, path string").parquet(str(tmp_path / "in/*"))
-    q = fs.frontier_stream(stream).writeStream.format("memory").queryName("reqs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
-    q.awaitTermination(120)
-    assert sorted((r.host, r.path) for r in spark.table("reqs").collect()) == [("a", "/robots.txt"), ("b", "/robots.txt")]
+    spark.conf.set(*fs.STATE_STORE)
+    seen = []
+    try:
+        stream = spark.readStream.schema("host string, path string").parquet(str(tmp_path / "in/*"))
+        sink = fs.frontier_stream(stream).writeStream.foreachBatch(lambda batch, _: seen.extend((r.host, r.path, r.queue_len) for r in fs.in_priority(batch).collect()))
+        q = sink.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        until = time.time() + 60
+        while len(seen) < 2 and time.time() < until:
+            time.sleep(0.2)
+        q.stop()  # timers would wake it again
+    finally:
+        spark.conf.unset(fs.STATE_STORE[0])
+    assert seen == [("a", "/robots.txt", 3), ("b", "/robots.txt", 2)]
