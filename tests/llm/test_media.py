@@ -31,6 +31,40 @@ def test_blocks_do_not_change_peaks(monkeypatch):
     assert (np.diff(codes >> 24) >= 0).all()
 
 
+def brute_peaks(samples):
+    """Maxima by definition: one frame and one frequency at a time, by the sums of the transform."""
+    x = np.frombuffer(samples, dtype=np.uint8).astype(float)
+    n = max(1, -(-(len(x) - media.WINDOW) // media.HOP) + 1)
+    x = np.append(x, np.zeros((n - 1) * media.HOP + media.WINDOW - len(x)))
+    k, t = np.arange(media.WINDOW // 2 + 1), np.arange(media.WINDOW)
+    basis = np.exp(-2j * np.pi * np.outer(k, t) / media.WINDOW)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (media.WINDOW - 1))
+    level = []
+    for f in range(n):
+        part = x[f * media.HOP : f * media.HOP + media.WINDOW]
+        level.append(np.log1p(abs(basis @ ((part - part.sum() / media.WINDOW) * window))))
+    out = []
+    for f in range(n):
+        least = sum(level[f]) / len(k) + media.ABOVE * np.sqrt(sum((level[f] - sum(level[f]) / len(k)) ** 2) / len(k))
+        for b in range(1, len(k) - 1):
+            v = level[f][b]
+            beside = v > level[f][b - 1] and v > level[f][b + 1]
+            if beside and v > least and (f == 0 or v > level[f - 1][b]) and (f == n - 1 or v >= level[f + 1][b]):
+                out.append((f, b))
+    return out
+
+
+def test_peaks_and_pairs_match_brute_force():
+    rng = np.random.default_rng(9)
+    words = " ".join(rng.choice(["the", "quick", "brown", "fox", "jumps", "over"], 900)).encode()
+    for samples in (words[: 64 * (len(words) // 64)], rng.integers(0, 256, 64 * 70, dtype=np.uint8).tobytes(), bytes(64), b"ab" * 32):
+        at, bins = media.spectral_peaks(samples)
+        want = brute_peaks(samples)
+        assert list(zip(at.tolist(), bins.tolist())) == want
+        pairs = [(f << 24) | (b << 14) | (c << 4) | (g - f) for i, (f, b) in enumerate(want) for g, c in want[i + 1 : i + 1 + media.FAN] if g - f <= media.REACH]
+        assert media.pair_codes(at, bins).tolist() == sorted(pairs)
+
+
 def test_rows(spark):
     rows = [(1, "some text " * 99), (1, "some text " * 99), (2, None), (3, ""), (None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS media", "'x' AS fingerprint")

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -42,6 +43,37 @@ def test_statistics_of_edges():
         assert len(v) == len(q.STATISTICS) and np.isfinite(v).all()
 
 
+def brute_statistics(text):
+    """Each statistic by its definition, from lists of words and characters."""
+    words = (text or "").split()
+    chars = [c for w in words for c in w]
+    n, m, p = len(words), len(chars), q.PRIOR
+    times = {w: words.count(w) for w in words}
+    root = lambda k, of: np.sqrt(max(0, k) / (of + p))
+    among = lambda of: sum(c in of for c in text or "")
+    return [
+        np.log(1 + n), np.log((m + 5 * p) / (n + p)), root(among("#*$%&|<>!~^=+@\\_{}[]"), m), root(sum(w.isupper() for w in words), n), root(among("0123456789"), m),
+        root(max(times.values(), default=0) - 1, n), np.log((len(times) + p) / (n + p)) / np.log(n + 20), root(sum(times[w] > 1 for w in words) if n else 0, n),
+        root(sum(a == b for a, b in zip(words, words[1:])), n), root(sum(len(w) <= 3 for w in words), n), root(among(","), n), root(among("."), n),
+    ]
+
+
+def test_statistics_and_moments_match_brute_force(spark):
+    rnd = random.Random(4)
+    texts = [None, "", "A a A a, B.", "x9 x9 x9 $$ [y] _z_ ÉÀ É"] + [" ".join(rnd.choices(["the", "The", "THE", "of,", "42", "end.", "#*", "ñandú"], k=rnd.randrange(60))) for _ in range(60)]
+    for t in texts:
+        got, want = q.statistics(t), brute_statistics(t)
+        got[7], want[7] = [0, 0] if not (t or "").split() else [got[7], want[7]]
+        assert np.allclose(got, want), t
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(len(texts))], "doc_id long, quality int")
+    taken = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    vectors = {k: np.array([q.statistics(texts[i]) for i in taken if i % 3 % 2 == k]) for k in (0, 1)}
+    want = q.QualityModel.fit({k: (float(len(v)), v.sum(0), v.T @ v) for k, v in vectors.items()})
+    model = q.train(docs, labels)
+    assert np.allclose(model.scale, want.scale) and np.allclose(model.means, want.means) and np.allclose(model.factors, want.factors) and np.allclose(model.offsets, want.offsets)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]

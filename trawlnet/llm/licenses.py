@@ -14,8 +14,10 @@ hold a prefix token: lines, and spans of the words around each prefix token, in
 Only those are exploded; a span is joined as a block is, and its windows are counted for the pairs that pass. The table of template tokens is broadcast; ``MAX_TOKENS`` bounds it.
 
 Defined results: null text counts as empty; words are told apart after lower-casing A-Z only; without a place first
-and last word are null; without a label the labels are empty strings; without a matching block the score is 0; repeated
-rows each give a row; other columns of the input are ignored.
+and last word are null; without a label the labels are empty strings; without a matching block the score is 0; of
+several templates and blocks the best share counts, and all labels; a very long text is read whole, and only what lies
+around its prefix tokens is exploded; repeated rows each give a row; an empty table gives an empty one; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ the first, both frequency bins and the distance in time. The array of these is o
 
 Defined results: null text counts as empty; an empty text is ``BLOCK`` zero bytes, whose spectrum has no maximum, so
 its array is empty; equal texts give equal values, as each is transformed by itself in blocks of fixed size; long
-texts are transformed in blocks, so that memory follows the block; repeated rows each give a row; other columns of the
-input are ignored.
+texts are transformed in blocks, so that memory follows the block; of equal values in time the later one is the maximum,
+and equal neighbours in frequency have none; repeated rows each give a row; an empty table gives an empty one; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
