@@ -3,7 +3,7 @@
 Every text gets its counts, and from them a vector of ``VECTOR`` transformed statistics. For each language and source a
 minimum-covariance-determinant estimate tells where the bulk of its vectors lies: from two deterministic starts, each
 concentration step keeps the ``SHARE`` of rows with the least distance and takes their mean and covariance, until no
-group's determinant changes any more, and the start with the smaller determinant wins. Few rows say little, so the
+group's determinant falls any more, and the start with the smaller determinant wins. Few rows say little, so the
 estimate is regularised: a group's mean and covariance are averaged with those of its language, as if that were
 ``SHRINK`` rows more, and a language's with those of all rows. A row is rejected if its squared Mahalanobis distance
 exceeds ``CUTOFF`` or a base rule fails.
@@ -35,9 +35,9 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 VECTOR = ("word_length", "symbols", "distinct", "upper")
 #: Share of rows that a concentration step keeps; accuracy of its quantile; rows that the wider estimate counts as.
 SHARE, ACCURACY, SHRINK = 0.75, 2000, 50.0
-#: Change of a log-determinant below which a group counts as settled; steps after which a group that still moves between
-#: sets of rows, as quantiles are approximate, stays where it is.
-SETTLED, STEPS = 1e-3, 40
+#: Fall of a log-determinant up to which a group counts as settled (a step can only lower it, but for the quantiles' small
+#: error and what the wider estimates move); steps at most, of which three to five are made in practice.
+SETTLED, STEPS = 0.01, 40
 #: A prior count that steadies rates of short texts.
 PRIOR = 30.0
 #: Standard deviation below which no direction of a group counts as narrower.
@@ -186,51 +186,72 @@ def _triangle(d: int) -> list[tuple[int, int]]:
 # The expressions below are SQL text: each is one call to the JVM, where columns built piece by piece are thousands.
 
 
+def _columns(d: int) -> list[str]:
+    """Names of the sums of both starts: n, means' and products' sums."""
+    return [f"{x}_{k}" for k in (0, 1) for x in ("n", *[f"s{i}" for i in range(d)], *[f"s{i}_{j}" for i, j in _triangle(d)])]
+
+
 def _sums(rows: DataFrame, d: int) -> DataFrame:
-    """g, p, start, n, and the sums s0.. and s0_0.. of the rows (x0.., q0, q1) within the group's cuts (cut0, cut1)."""
+    """g, p, was_0, was_1, and by start the number and sums of the rows (x0.., q0, q1) within the group's cuts."""
 
-    def of(k: int) -> str:
+    def of(k: int) -> list[Column]:
         near = lambda x: f"sum(CASE WHEN q{k} <= cut{k} THEN {x} END)"
-        own = [f"'s{i}', {near(f'x{i}')}" for i in range(d)] + [f"'s{i}_{j}', {near(f'x{i} * x{j}')}" for i, j in _triangle(d)]
-        return f"named_struct('start', {k}, 'n', {near('1.0D')}, {', '.join(own)})"
+        values = [near("1.0D"), *[near(f"x{i}") for i in range(d)], *[near(f"x{i} * x{j}") for i, j in _triangle(d)]]
+        return [F.expr(f"max(was_{k}) AS was_{k}"), *[F.expr(v).alias(c) for v, c in zip(values, [c for c in _columns(d) if c.endswith(f"_{k}")])]]
 
-    return rows.groupBy("g", "p").agg(F.expr(f"array({of(0)}, {of(1)})").alias("_s")).selectExpr("g", "p", "explode(_s) AS _s").select("g", "p", "_s.*")
+    return rows.groupBy("g", "p").agg(*of(0), *of(1))
 
 
-def _moments(sums: DataFrame, d: int, by: list[str], name: str) -> DataFrame:
-    """``by``, and as ``name`` a struct of n, the mean m0.. and the covariance c0_0.. of the rows that ``sums`` are of."""
-    sums = sums.groupBy(*by).agg(*[F.expr(f"sum({c})").alias(c) for c in sums.columns if c not in ("g", "p", "start")])
-    factor = consistency(SHARE, d)
-    covariance = lambda i, j: f"{factor!r}D * (s{i}_{j} / n - s{i} / n * (s{j} / n)) + {FLOOR**2 if i == j else 0.0!r}D"
-    values = [f"'m{i}', s{i} / n" for i in range(d)] + [f"'c{i}_{j}', {covariance(i, j)}" for i, j in _triangle(d)]
-    return sums.selectExpr(*by, f"named_struct('n', n, {', '.join(values)}) AS {name}")
+def _moments(d: int, k: int) -> dict[str, str]:
+    """The mean m{i} and covariance c{i}_{j} of start ``k``, from a struct of sums whose name is to be put for ``{}``."""
+    n, factor = f"{{}}.n_{k}", consistency(SHARE, d)
+    mean = lambda i: f"({{}}.s{i}_{k} / {n})"
+    covariance = lambda i, j: f"({factor!r}D * ({{}}.s{i}_{j}_{k} / {n} - {mean(i)} * {mean(j)}) + {FLOOR**2 if i == j else 0.0!r}D)"
+    return {f"m{i}": mean(i) for i in range(d)} | {f"c{i}_{j}": covariance(i, j) for i, j in _triangle(d)}
 
 
 def _estimates(sums: DataFrame, d: int, shrink: float) -> DataFrame:
-    """g, start, m0.., the inverse Cholesky factor w{i}_{j} of the shrunk covariance, and logdet."""
-    names = [f"m{i}" for i in range(d)] + [f"c{i}_{j}" for i, j in _triangle(d)]
-
-    def shrunk(own: str, wide: str) -> str:
-        return ", ".join(f"'{c}', ({own}.n * {own}.{c} + {shrink!r}D * {wide}.{c}) / ({own}.n + {shrink!r}D)" for c in names)
-
-    languages = _moments(sums, d, ["p", "start"], "_l").join(F.broadcast(_moments(sums, d, ["start"], "_a")), "start")  # two rows
-    languages = languages.selectExpr("p", "start", f"named_struct({shrunk('_l', '_a')}) AS _l")
-    out = _moments(sums, d, ["g", "p", "start"], "_g").join(languages, ["p", "start"]).selectExpr("g", "start", f"named_struct({shrunk('_g', '_l')}) AS _e").select("g", "start", "_e.*")
-    # what doesn't depend on each other is made at once: the factor column by column, its inverse by diagonals
-    less = lambda i, j: "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
-    for j in range(d):
-        out = out.selectExpr("*", f"sqrt(greatest(c{j}_{j}{less(j, j)}, 1e-9D)) AS l{j}_{j}")
-        if j + 1 < d:
-            out = out.selectExpr("*", *[f"(c{i}_{j}{less(i, j)}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, d)])
-    out = out.selectExpr("*", *[f"1 / l{j}_{j} AS w{j}_{j}" for j in range(d)])
-    for off in range(1, d):
-        out = out.selectExpr("*", *[f"-({' + '.join(f'l{j + off}_{k} * w{k}_{j}' for k in range(j, j + off))}) / l{j + off}_{j + off} AS w{j + off}_{j}" for j in range(d - off)])
-    logdet = " + ".join(f"2 * ln(l{i}_{i})" for i in range(d))
-    return out.selectExpr("g", "start", *[f"m{i}" for i in range(d)], *[f"w{i}_{j}" for i, j in _triangle(d)], f"{logdet} AS logdet")
+    """g, and by start k a struct e{k} of m0.., the inverse Cholesky factor w{i}_{j} of the shrunk covariance, logdet,
+    and the logdet before (was). Groups are rows of ``sums``, so only those of languages and of all are sums again."""
+    names = _columns(d)
+    total = [F.expr(f"sum({c})").alias(c) for c in names]
+    by_language = sums.groupBy("p").agg(*total)
+    both = sums.selectExpr("g", "p", "was_0", "was_1", f"struct({', '.join(names)}) AS own")
+    both = both.join(by_language.selectExpr("p", f"struct({', '.join(names)}) AS lang"), "p")
+    both = both.join(F.broadcast(sums.agg(*total).selectExpr(f"struct({', '.join(names)}) AS whole")))  # one row
+    out, shown = both, []
+    less = lambda i, j, k: "".join(f" - l{i}_{n}_{k} * l{j}_{n}_{k}" for n in range(j))
+    mix = lambda n, own, wide: f"(({n}) * {own} + {shrink!r}D * {wide}) / ({n} + {shrink!r}D)"
+    for step in range(-1, 2 * d + d):
+        made = []
+        for k in (0, 1):
+            if step == -1:
+                for c, text in _moments(d, k).items():
+                    language = mix(f"lang.n_{k}", text.replace("{}", "lang"), text.replace("{}", "whole"))
+                    made.append(f"{mix(f'own.n_{k}', text.replace('{}', 'own'), language)} AS {c}_{k}")
+            elif step < 2 * d:  # the factor, column by column: what doesn't depend on each other is made at once
+                j, below = divmod(step, 2)
+                if below:
+                    made += [f"(c{i}_{j}_{k}{less(i, j, k)}) / l{j}_{j}_{k} AS l{i}_{j}_{k}" for i in range(j + 1, d)]
+                else:
+                    made.append(f"sqrt(greatest(c{j}_{j}_{k}{less(j, j, k)}, 1e-9D)) AS l{j}_{j}_{k}")
+            else:  # its inverse, by diagonals
+                off = step - 2 * d
+                for j in range(d - off):
+                    i = j + off
+                    inner = " + ".join(f"l{i}_{n}_{k} * w{n}_{j}_{k}" for n in range(j, i))
+                    made.append(f"{f'-({inner})' if off else '1'} / l{i}_{i}_{k} AS w{i}_{j}_{k}")
+        if made:
+            out = out.selectExpr("*", *made)
+    for k in (0, 1):
+        logdet = " + ".join(f"2 * ln(l{i}_{i}_{k})" for i in range(d))
+        values = [f"'m{i}', m{i}_{k}" for i in range(d)] + [f"'w{i}_{j}', w{i}_{j}_{k}" for i, j in _triangle(d)]
+        shown.append(f"named_struct({', '.join(values)}, 'logdet', {logdet}, 'was', was_{k}) AS e{k}")
+    return out.selectExpr("g", *shown)
 
 
 def distance(d: int, of: str = "") -> Column:
-    """Squared Mahalanobis distance of x0.. under the columns of ``_estimates``, or those of the struct ``of``."""
+    """Squared Mahalanobis distance of x0.. under the columns of an estimate, or those of the struct ``of``."""
     at = f"{of}." if of else ""
     part = lambda i: " + ".join(f"{at}w{i}_{j} * (x{j} - {at}m{j})" for j in range(i + 1))
     return F.expr(" + ".join(f"power({part(i)}, 2)" for i in range(d)))
@@ -247,8 +268,9 @@ def robust_estimates(rows: DataFrame, d: int, steps: int = STEPS, share: float =
     near = with_(rows, centres)
     spread = [F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(ACCURACY)).alias(f"s{i}") for i in range(d)]
     spreads = materialise(near.groupBy("g").agg(*spread), "spreads")
-    z = [F.abs(F.col(f"x{i}") - F.col(f"c{i}")) / (1.4826 * F.col(f"s{i}") + FLOOR) for i in range(d)]
-    now = with_(near, spreads).select("g", "p", *xs, sum((a * a for a in z), F.lit(0.0)).alias("q0"), F.greatest(*z).alias("q1"))
+    z = [f"abs(x{i} - c{i}) / (1.4826D * s{i} + {FLOOR!r}D)" for i in range(d)]
+    was = [f"CAST(NULL AS DOUBLE) AS was_{k}" for k in (0, 1)]
+    now = with_(near, spreads).selectExpr("g", "p", *xs, f"{' + '.join(f'power({x}, 2)' for x in z)} AS q0", f"greatest({', '.join(z)}) AS q1", *was)
     found, used = None, []
     for _ in range(steps):
         cut = [F.percentile_approx(f"q{k}", F.lit(share), F.lit(ACCURACY)).alias(f"cut{k}") for k in (0, 1)]
@@ -257,16 +279,12 @@ def robust_estimates(rows: DataFrame, d: int, steps: int = STEPS, share: float =
         before, found = found, materialise(_estimates(sums, d, shrink), "estimates")
         discard(*used)
         used = [cuts, sums, before]
-        if before is not None:
-            was = before.select("g", "start", F.col("logdet").alias("_was"))
-            if (found.join(was, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0] or 0.0) <= SETTLED:
-                break
-        values = F.struct(*[c for c in found.columns if c not in ("g", "start")])
-        both = found.groupBy("g").agg(*[F.max(F.when(F.col("start") == k, values)).alias(f"e{k}") for k in (0, 1)])
-        now = with_(rows, both).select("g", "p", *xs, distance(d, "e0").alias("q0"), distance(d, "e1").alias("q1"))
-    values = [c for c in found.columns if c not in ("g", "start", "logdet")]
-    best = found.groupBy("g").agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("_e"))
-    return centres.select("g", F.col("size").alias("n")).join(best, "g").select("g", "n", "_e.*")
+        moved = found.agg(F.expr("max(greatest(e0.was - e0.logdet, e1.was - e1.logdet))")).first()[0]
+        if before is not None and (moved or 0.0) <= SETTLED:
+            break
+        now = with_(rows, found).select("g", "p", *xs, distance(d, "e0").alias("q0"), distance(d, "e1").alias("q1"), F.expr("e0.logdet AS was_0"), F.expr("e1.logdet AS was_1"))
+    best = found.selectExpr("g", "CASE WHEN e1.logdet < e0.logdet THEN e1 ELSE e0 END AS _e")
+    return centres.select("g", F.col("size").alias("n")).join(best, "g").select("g", "n", "_e.*").drop("was", "logdet")
 
 
 def _key(*parts: Column) -> Column:
