@@ -112,3 +112,14 @@ def test_documents_match_brute_force(spark):
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted(set(least.values())) and kept.where("doc_id IS NULL").count() == 1
     assert s.keep_one(docs.limit(0)).count() == 0
+
+
+def test_hot_fingerprints_in_parts(spark, monkeypatch):
+    rows = [(i, "a b c d e f" if i % 3 == 0 else f"text number {i} of many", i % 7) for i in range(300)] + [(None, "a b c d e f", 0), (5, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rows int")
+    read = lambda: sorted((tuple(r) for r in s.near_duplicates(df).collect()), key=str)
+    want = read()
+    monkeypatch.setattr(s, "BROADCAST_IDS", 0)
+    assert read() == want
+    monkeypatch.setattr(s, "HOT_ROWS", 10)
+    assert read() == want and len(want) == len(rows)

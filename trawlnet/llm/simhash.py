@@ -12,7 +12,8 @@ pair of parts is walked in a task of its own. Components of all forests follow (
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other; a
 text with fewer words than a shingle is one shingle; the class of a row with a null id is named by the other ids, or
-null; repeated rows each give a row; other columns of the input are ignored.
+null; a very long text is hashed in blocks; of ties the smallest id names a class; repeated rows each give a row; an empty
+table gives an empty one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ WALK, HASHES = 1 << 16, 1 << 15
 LEAF = 32
 #: Rows that a task of the join gets, on average.
 TASK_ROWS = 1_000_000
-#: Ids that are broadcast at most.
-BROADCAST_IDS = 1_000_000
+#: Ids, or fingerprints, that are broadcast at most; rows of one fingerprint beyond which they are dealt over several keys.
+BROADCAST_IDS, HOT_ROWS = 1_000_000, 500_000
 
 
 def fingerprint(raw: bytes) -> int:
@@ -237,13 +238,24 @@ def near_links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fp, component_id (the smallest id that links reach) for each row."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows")), "nodes")
     found = components(near_links(nodes))
     linked = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     named = linked.join(least, "root").select("fp", "least")
     classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(id_col, "fp", "component_id")
+    return _with_classes(prints, nodes, classes, id_col).select(id_col, "fp", "component_id")
+
+
+def _with_classes(prints: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The class (fp, component_id) of each row: broadcast while there are few, otherwise by a shuffle in which the rows of
+    a hot fingerprint are dealt over several keys."""
+    if nodes.count() <= BROADCAST_IDS:
+        return prints.join(F.broadcast(classes), "fp", "left")
+    hot = nodes.where(F.col("rows") > HOT_ROWS).select("fp", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("parts"))  # one in HOT_ROWS rows at most
+    own = prints.join(F.broadcast(hot), "fp", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(id_col), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copies = classes.join(F.broadcast(hot), "fp", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return own.join(copies, ["fp", "part"], "left")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
