@@ -210,3 +210,34 @@ def test_page_text_with_cut_entities_equals_its_sql(spark, tmp_path, name):
     want = duckdb.sql(entry.oracle_sql()[name]).fetchall()
     got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("doc_id", "term", "freq").collect()]
     assert sorted(got) == sorted(want) and ((1, "amp", 1) in got) == (name == "page_text_tokens")
+
+
+def test_pagerank_runs_to_its_residual_in_few_jobs(spark, monkeypatch):
+    """Over 100 iterations where the residual asks for them, and many iterations a job; blocks, chunks and ids of text."""
+    rnd = random.Random(5)
+    nodes = [f"n{x}" for x in range(25)]
+    edges = [(f"n{min(rnd.randrange(20), rnd.randrange(20))}", f"n{rnd.randrange(30)}") for _ in range(90)] + [("x", "n1"), ("n1", "n1"), ("n2", "n3"), ("n2", "n3")]
+    valid = {(a, b) for a, b in edges if a in nodes and b in nodes}
+    deg = {a: sum(x == a for x, _ in valid) for a, _ in valid}
+    edges += [("n20", "n21"), ("n21", "n20")]
+    valid |= {("n20", "n21"), ("n21", "n20")}
+    deg |= {"n20": 1 + deg.get("n20", 0), "n21": 1 + deg.get("n21", 0)}
+    rank, k = dict.fromkeys(nodes, 1.0), 0
+    while k == 0 or off > 1e-9:
+        new = {v: 0.15 + 0.85 * sum(rank[a] / deg[a] for a, b in valid if b == v) for v in nodes}
+        off, rank, k = sum(abs(new[v] - rank[v]) for v in nodes), new, k + 1
+    assert k > 100
+    monkeypatch.setattr(gr, "LEAST_ROWS", 30)
+    monkeypatch.setattr(gr, "HUB", 7)
+    n, links = spark.createDataFrame([(x,) for x in nodes + nodes[:3]], "id string"), spark.createDataFrame(edges, "src string, dst string")
+    spark.sparkContext.setJobGroup("ranks", "")
+    try:
+        got = {r.id: r["rank"] for r in gr.pagerank(n, links, tol=1e-9).collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(got) == set(nodes) and all(math.isclose(got[v], rank[v], abs_tol=1e-11) for v in nodes) and 0 < len(jobs) < k
+    with pytest.raises(ValueError):
+        gr.pagerank(n, links, tol=0.0)
+    assert {r.id: r["rank"] for r in gr.pagerank(n, links.limit(0)).collect()} == pytest.approx(dict.fromkeys(nodes, 0.15))
+    assert gr.pagerank(n.limit(0), links).count() == 0

@@ -1,11 +1,10 @@
 """Link graph and PageRank over edge tables.
 
-Edges with their source's out-degree are the large table. They are shuffled once, into a table bucketed by source, and
-ranks are in as many buckets of their node; so an iteration joins the two, and the new ranks to the old, without a
-shuffle, and only votes move, summed before they do. A source with more than ``HUB`` links is cut into parts of that many,
-each joined to its own copy of the source's rank, so that no bucket holds all links of a hub. Each iteration's ranks are written
-to the shared folder with their change, which cuts lineage, survives lost executors and makes the residual a sum over
-that table; the ranks before the last are deleted.
+Ranks are iterated over blocks of nodes (``blocks``): edges are shuffled once, into chunks of arrays by the block of their
+source, and an iteration moves one row of summed votes from each block to each. A block whose sources have more than
+``HUB`` links in all is cut into chunks of that many, held by tasks of their own. Some iterations are one job; its ranks are
+written to the shared folder with their changes, which cuts lineage, survives lost executors and gives the residuals;
+the ranks before are deleted. ``pagerank_step`` is one iteration as a join, over any tables.
 """
 
 from __future__ import annotations
@@ -15,11 +14,14 @@ from pyspark.sql import functions as F
 
 from trawlnet.functions.html import links_of
 from trawlnet.functions.urls import fingerprint, normalize_url
+from trawlnet.operators.blocks import chunks, iterate, placed
 from trawlnet.operators.pages import resolved_links
-from trawlnet.plans.shared import discard, materialise, materialise_bucketed
+from trawlnet.plans.shared import discard, materialise
 
-#: Edges of a bucket, on average; links of a source beyond which it is cut into parts.
-BUCKET_ROWS, HUB = 20_000_000, 1_000_000
+#: Edges (or nodes) of a block on average, at most; edges of a chunk; edges below which a block isn't worth a task.
+BUCKET_ROWS, HUB, LEAST_ROWS = 2_000_000, 4_000_000, 100_000
+#: Iterations of a job, at most; votes that a job shuffles, at most, unless that is one iteration's.
+TOGETHER, VOTES = 16, 500_000_000
 
 
 def page_edges(pages: DataFrame, schemes: tuple[str, ...] = ("http",)) -> DataFrame:
@@ -73,53 +75,29 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return linking.join(valid_edges(edges, nodes).select(F.col("src").alias("id")).distinct(), "id", "left_anti")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-3, max_iter: int = 100, prune_dangling: bool = False) -> DataFrame:
-    """GR3, GR4: id, rank; at least one iteration, until the residual is ``tol`` or less. With ``prune_dangling``
-    (GR5), nodes all of whose links lead out of the collection take no part and get the least rank, 1 - ``damping``."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-3, max_iter: int | None = None, prune_dangling: bool = False) -> DataFrame:
+    """GR3, GR4: id, rank; at least one iteration, until the residual is ``tol`` or less, or after ``max_iter`` if that is
+    given. With ``prune_dangling`` (GR5), nodes all of whose links lead out of the collection take no part and get the
+    least rank, 1 - ``damping``."""
+    if max_iter is None and not (tol > 0 and 0 < damping < 1):
+        raise ValueError("without max_iter, tol must be positive and damping between 0 and 1")
     spark = nodes.sparkSession
     nodes = materialise(nodes.select("id").distinct(), "nodes")
+    edges = materialise(edges.select("src", "dst"), "edges")
     lone = None
     if prune_dangling:
         lone = materialise(dangling(nodes, edges), "dangling")
         nodes = materialise(nodes.join(lone, "id", "left_anti"), "nodes")
-    edges = materialise(valid_edges(edges, nodes), "edges")
-    degrees = materialise(out_degrees(edges), "degrees")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET_ROWS))
-    hubs = degrees.where(F.col("n") > HUB).select(F.col("src").alias("id"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
-    hubs = hubs if not hubs.isEmpty() else None
-    shares = edges.join(degrees, "src")
-    if hubs is not None:
-        parts = F.ceil(F.col("n") / HUB).cast("int")
-        shares = shares.withColumn("part", F.when(F.col("n") > HUB, F.pmod(F.xxhash64("dst"), parts)).cast("int"))
-        hub_shares = materialise(shares.where("part IS NOT NULL"), "hubs")
-        shares = shares.where("part IS NULL").drop("part")
-    shares = materialise_bucketed(shares, "shares", "src", buckets)
-    ranks, before = materialise_bucketed(nodes.withColumn("rank", F.lit(1.0)), "ranks", "id", buckets), None
-    for _ in range(max_iter):
-        if hubs is None:
-            new = pagerank_step(shares, ranks, damping)
-        else:
-            copies = ranks.join(hubs, "id").select(F.col("id").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            new = _hub_step(shares, hub_shares, copies, ranks, damping)
-        discard(before)
-        before, ranks = ranks, materialise_bucketed(new, "ranks", "id", buckets, deal=False)
-        if (ranks.agg(F.sum("off")).first()[0] or 0.0) <= tol:
-            break
-    discard(before, edges, degrees)
-    out = ranks.select("id", "rank")
+    links, size = edges.count(), nodes.count()
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-links // LEAST_ROWS))
+    blocks = max(1, few, -(-links // BUCKET_ROWS), -(-size // BUCKET_ROWS))
+    nodes = materialise(placed(nodes, blocks), "placed")
+    stored = materialise(chunks(edges, nodes, blocks, HUB), "chunks")
+    out = iterate(stored, nodes, blocks, damping, tol, max_iter, max(1, min(TOGETHER, VOTES // max(1, links))))
+    discard(edges, stored)
     return out.union(lone.select("id", F.lit(1 - damping))) if lone is not None else out
 
 
-def _hub_step(shares: DataFrame, hub_shares: DataFrame, copies: DataFrame, ranks: DataFrame, damping: float) -> DataFrame:
-    """``pagerank_step`` with the links of hubs (src, dst, n, part) joined to the copies of their ranks by part."""
-    vote = (F.col("rank") / F.col("n")).alias("vote")
-    usual = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").select("dst", vote)
-    votes = usual.union(hub_shares.join(copies, ["src", "part"]).select("dst", vote)).groupBy("dst").agg(F.sum("vote").alias("_v"))
-    new = F.lit(1 - damping) + damping * F.coalesce("_v", F.lit(0.0))
-    joined = ranks.select("id", F.col("rank").alias("_old")).join(votes.withColumnRenamed("dst", "id"), "id", "left")
-    return joined.select("id", new.alias("rank"), F.abs(new - F.col("_old")).alias("off"))
-
-
 def pagerank_steps(nodes: DataFrame, edges: DataFrame, k: int, damping: float = 0.85) -> list[DataFrame]:
     """The ranks before and after each of ``k`` iterations."""
     edges = materialise(edges, "edges")
