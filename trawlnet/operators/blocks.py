@@ -56,7 +56,7 @@ def chunks(edges: DataFrame, nodes: DataFrame, blocks: int, limit: int) -> DataF
             first = np.ones(len(at), bool)
             first[1:] = q[at][1:] != q[at][:-1]
             begins = np.flatnonzero(first)
-            arrays = [i, at.astype(np.int64), j[at], q[at][begins], begins.astype(np.int64)]
+            arrays = [x.astype(np.int32) for x in (i, at, j[at], q[at][begins], begins)]
             c += 1
             return _batch([[now], [c - 1], *([a.tobytes()] for a in arrays), [degrees]], _CHUNK)
 
@@ -149,7 +149,7 @@ def _run(static: RDD, state: DataFrame, holders: dict, sizes: dict, damping: flo
         for key, (kind, p, *x) in rows:
             block[key] = p
             if kind == "chunk":
-                held[key].append([np.frombuffer(b, t) for b, t in zip(x, (np.int32, np.int64, np.int32, np.int32, np.int64))])
+                held[key].append([np.frombuffer(b, np.int32) for b in x])
             elif kind == "degrees":
                 degrees[key] = np.frombuffer(x[0], np.int64)
             elif kind == "rank":

@@ -19,9 +19,9 @@ from trawlnet.operators.pages import resolved_links
 from trawlnet.plans.shared import discard, materialise
 
 #: Edges (or nodes) of a block on average, at most; edges of a chunk; edges below which a block isn't worth a task.
-BUCKET_ROWS, HUB, LEAST_ROWS = 2_000_000, 4_000_000, 100_000
+BUCKET_ROWS, HUB, LEAST_ROWS = 4_000_000, 8_000_000, 100_000
 #: Iterations of a job, at most; votes that a job shuffles, at most, unless that is one iteration's.
-TOGETHER, VOTES = 16, 500_000_000
+TOGETHER, VOTES = 16, 250_000_000
 
 
 def page_edges(pages: DataFrame, schemes: tuple[str, ...] = ("http",)) -> DataFrame:
@@ -89,7 +89,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
         lone = materialise(dangling(nodes, edges), "dangling")
         nodes = materialise(nodes.join(lone, "id", "left_anti"), "nodes")
     links, size = edges.count(), nodes.count()
-    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-links // LEAST_ROWS))
+    few = min(2 * spark.sparkContext.defaultParallelism, -(-links // LEAST_ROWS))  # more blocks send more sums for a target
     blocks = max(1, few, -(-links // BUCKET_ROWS), -(-size // BUCKET_ROWS))
     nodes = materialise(placed(nodes, blocks), "placed")
     stored = materialise(chunks(edges, nodes, blocks, HUB), "chunks")
